@@ -35,8 +35,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _multipliers(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _mixed(np.arange(1, 2 * rows + 1, dtype=np.uint64) * _ODD + np.uint64(seed))
-    return base[:rows, None] | np.uint64(1), base[rows:, None]
+    base = (_mixed(np.arange(1, 2 * rows + 1, dtype=np.uint64) * _ODD + np.uint64(seed)) >> np.uint64(32)).astype(np.uint32)
+    return base[:rows, None] | np.uint32(1), base[rows:, None]
 
 
 def numbered_kmers(codes: np.ndarray, k: int) -> np.ndarray:
@@ -57,33 +57,62 @@ def numbered_kmers(codes: np.ndarray, k: int) -> np.ndarray:
     return np.where(number > 0, _mixed(h + number * _ODD), h)
 
 
-def fingerprint(text: str, k: int = K, tuple_size: int = TUPLE, rows: int = ROWS, seed: int = 7) -> np.ndarray:
-    """``rows`` 32-bit tuple hashes."""
-    if not text:
-        return np.zeros(rows, np.uint32)
-    mers = numbered_kmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), k)
+def _mers(text: str, k: int) -> np.ndarray:
+    return numbered_kmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), k)
+
+
+State = tuple[np.ndarray, np.ndarray]
+
+
+def _select(mers: np.ndarray, first: int, stop: int, take: int, rows: int, seed: int, state: State | None = None) -> State:
+    """Each row's ``take`` smallest values and their places, of those in ``state`` and of the places from ``first`` to ``stop``.
+
+    Values are 32-bit permutations of the k-mer hashes' upper halves; of equal ones the earlier place counts.
+    """
     a, b = _multipliers(rows, seed)
-    take = min(tuple_size, len(mers))
-    least = np.empty((rows, 0), np.uint64)
-    at = np.empty((rows, 0), np.int64)
-    for first in range(0, len(mers), BLOCK):
-        h = mers[None, first : first + BLOCK] * a + b
-        h ^= h >> np.uint64(31)
+    least, at = state or (np.empty((rows, 0), np.uint32), np.empty((rows, 0), np.int64))
+    for begin in range(first, stop, BLOCK):
+        h = (mers[begin : min(stop, begin + BLOCK)] >> np.uint64(32)).astype(np.uint32)[None, :] * a
+        h ^= h >> np.uint32(15)
+        h += b
         for _ in range(min(take, h.shape[1])):
             i = h.argmin(axis=1)[:, None]
             least = np.concatenate((least, np.take_along_axis(h, i, 1)), axis=1)
-            at = np.concatenate((at, i + first), axis=1)
-            np.put_along_axis(h, i, np.uint64(0xFFFFFFFFFFFFFFFF), 1)
+            at = np.concatenate((at, i + begin), axis=1)
+            np.put_along_axis(h, i, np.uint32(0xFFFFFFFF), 1)
         if least.shape[1] > take:
             best = np.argsort(least, axis=1, kind="stable")[:, :take]
             least, at = np.take_along_axis(least, best, 1), np.take_along_axis(at, best, 1)
+    return least, at
+
+
+def _tuples(mers: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
     chosen = mers[np.sort(at, axis=1)]
-    out = np.full(rows, np.uint64(take))
-    for i in range(take):
+    out = np.full(rows, np.uint64(at.shape[1]))
+    for i in range(at.shape[1]):
         out = _mixed(out * _ODD + chosen[:, i])
     return (out >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
+def fingerprint(text: str, k: int = K, tuple_size: int = TUPLE, rows: int = ROWS, seed: int = 7) -> np.ndarray:
+    """``rows`` 32-bit tuple hashes."""
+    if not text:
+        return np.zeros(rows, np.uint32)
+    mers = _mers(text, k)
+    _, at = _select(mers, 0, len(mers), min(tuple_size, len(mers)), rows, seed)
+    return _tuples(mers, at, rows)
+
+
+def fingerprint_pair(text: str, changed: str, same: int, k: int = K, tuple_size: int = TUPLE, rows: int = ROWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Both texts' fingerprints; they share their first ``same`` code points, which are hashed once."""
+    shared = same - k + 1
+    if shared < tuple_size:
+        return tuple(fingerprint(x, k, tuple_size, rows, seed) for x in (text, changed))
+    a, b = _mers(text, k), _mers(changed, k)
+    state = _select(a, 0, shared, tuple_size, rows, seed)
+    return tuple(_tuples(m, _select(m, shared, len(m), tuple_size, rows, seed, state)[1], rows) for m in (a, b))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
@@ -136,20 +165,27 @@ def compare_in_order(docs: DataFrame, rows_per_block: int = 2048, id_col: str =
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        last = None  # (id, text, fingerprint, block)
+        waiting: list = []  # the rows whose next row has come, each as (id, text, next text); then the last row
+        last = None  # (id, text, block, head)
         for batch in batches:
             ids, blocks_, heads_ = (batch.column(i).to_pylist() for i in (0, 2, 3))
             for i, data in enumerate(utf8(batch.column(1))):
-                if last is not None and last[4] and last[3] == blocks_[i]:
+                if last is not None and last[3] and last[2] == blocks_[i]:
                     continue  # only the first of the next block's rows is wanted
                 body = data.decode("utf-8", "replace")
-                mark = fingerprint(body, **options)
-                if last is not None and not last[4]:
-                    out.append(_row(last, body, mark, options))
-                last = (ids[i], body, mark, blocks_[i], heads_[i])
+                if last is not None and not last[3]:
+                    waiting.append((last[0], last[1], body))
+                if heads_[i]:
+                    out += _rows(waiting, options)
+                    waiting = []
+                elif len(waiting) >= 64:
+                    out += _rows(waiting[:-1], options)
+                    waiting = waiting[-1:]
+                last = (ids[i], body, blocks_[i], heads_[i])
                 if len(out) >= 512:
                     yield _batch(out)
                     out = []
+        out += _rows(waiting, options)
         if out:
             yield _batch(out)
 
@@ -168,9 +204,20 @@ def _schema(id_type, id_col: str) -> pa.Schema:
     return pa.schema([(id_col, to_arrow_type(id_type)), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _row(last: tuple, after: str, after_mark: np.ndarray, options: dict) -> tuple:
-    id_, body, mark = last[:3]
-    changed = edited(body, after)
-    changed_mark = mark if changed == body else fingerprint(changed, **options)
-    digest = hashlib.sha256(changed.encode("utf-8")).hexdigest()
-    return id_, len(body), digest, mark.astype(">u4").tobytes().hex(), changed_mark.astype(">u4").tobytes().hex(), likeness(mark, changed_mark), likeness(mark, after_mark)
+def _rows(run: list[tuple], options: dict) -> list[tuple]:
+    """Results for consecutive documents (id, text, next text); each next text but the last is the text that follows."""
+    out, mark = [], None
+    pairs = []
+    for _, body, after in run:
+        changed = edited(body, after)
+        if changed == body:
+            own = fingerprint(body, **options)
+            pairs.append((own, own, changed))
+        else:
+            pairs.append((*fingerprint_pair(body, changed, len(body) - len(body) // 4, **options), changed))
+    for i, (id_, body, after) in enumerate(run):
+        mark, changed_mark, changed = pairs[i]
+        after_mark = pairs[i + 1][0] if i + 1 < len(run) else fingerprint(after, **options)
+        digest = hashlib.sha256(changed.encode("utf-8")).hexdigest()
+        out.append((id_, len(body), digest, mark.astype(">u4").tobytes().hex(), changed_mark.astype(">u4").tobytes().hex(), likeness(mark, changed_mark), likeness(mark, after_mark)))
+    return out
