@@ -61,12 +61,13 @@ def binarize(raw: np.ndarray) -> np.ndarray:
     return np.where(raw > (0.05 if top <= 1.0 else 8.0), 255, 0).astype(np.uint8)
 
 
-def read_npy(files: DataFrame) -> DataFrame:
-    """Rasters in NumPy's format (path, content) as path, height, width and a binary plane ``mask``."""
+def read_rasters(files: DataFrame) -> DataFrame:
+    """Rasters (path, content) in NumPy's format or as PNG: path, height, width and a binary plane ``mask``."""
+    from tessera.operators.kernels import read_png
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            planes = [binarize(np.load(io.BytesIO(x), allow_pickle=False)) for x in batch.content]
+            planes = [binarize(np.load(io.BytesIO(x), allow_pickle=False) if p.lower().endswith(".npy") else read_png(bytes(x))) for p, x in zip(batch.path, batch.content, strict=True)]
             yield pd.DataFrame({"path": batch.path, "height": [p.shape[0] for p in planes], "width": [p.shape[1] for p in planes], "mask": [p.tobytes() for p in planes]})
 
     return files.select("path", "content").mapInPandas(decode, "path string, height int, width int, mask binary")
