@@ -57,33 +57,46 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 class Kalman:
-    """Constant velocity over centre, width and height; the axes are independent, so each has a 2 x 2 covariance, the same for all four."""
+    """Constant velocity over centre, width and height of many tracks at once (first axis).
 
-    def __init__(self, box: tuple[float, float, float, float]):
-        self.x, self.v = self.measure(box), np.zeros(4)
-        self.p = np.array([[10.0, 0.0], [0.0, 10.0]])
+    The four coordinates are independent and share a 2 x 2 covariance.
+    """
+
+    def __init__(self):
+        self.x, self.v, self.p = np.zeros((0, 4)), np.zeros((0, 4)), np.zeros((0, 2, 2))
 
     @staticmethod
-    def measure(box) -> np.ndarray:
-        x1, y1, x2, y2 = box
-        return np.array([(x1 + x2) / 2, (y1 + y2) / 2, max(1.0, x2 - x1), max(1.0, y2 - y1)], float)
+    def measure(boxes: np.ndarray) -> np.ndarray:
+        x1, y1, x2, y2 = boxes.astype(float).T
+        return np.stack([(x1 + x2) / 2, (y1 + y2) / 2, np.maximum(1.0, x2 - x1), np.maximum(1.0, y2 - y1)], axis=1)
 
-    def predict(self, steps: int = 1) -> None:
-        f = np.array([[1.0, 1.0], [0.0, 1.0]])
-        for _ in range(max(1, steps)):
-            self.x = self.x + self.v
-            self.p = f @ self.p @ f.T + 0.05 * np.eye(2)
+    def open(self, boxes: np.ndarray) -> None:
+        n = len(boxes)
+        self.x, self.v = np.concatenate((self.x, self.measure(boxes))), np.concatenate((self.v, np.zeros((n, 4))))
+        self.p = np.concatenate((self.p, np.tile(np.diag([10.0, 10.0]), (n, 1, 1))))
 
-    def update(self, box) -> None:
-        gain = self.p[:, 0] / (self.p[0, 0] + 4.0)
-        off = self.measure(box) - self.x
-        self.x, self.v = self.x + gain[0] * off, self.v + gain[1] * off
-        self.p = self.p - np.outer(gain, self.p[0])
+    def keep(self, which: np.ndarray) -> None:
+        self.x, self.v, self.p = self.x[which], self.v[which], self.p[which]
+
+    def predict(self, steps: np.ndarray) -> None:
+        f = np.array([[1.0, 1.0], [0.0, 1.0]])
+        for k in range(int(steps.max(initial=0))):
+            on = steps > k
+            self.x[on] += self.v[on]
+            self.p[on] = f @ self.p[on] @ f.T + 0.05 * np.eye(2)
+
+    def update(self, which: np.ndarray, boxes: np.ndarray) -> None:
+        p = self.p[which]
+        gain = p[:, :, 0] / (p[:, 0, 0] + 4.0)[:, None]
+        off = self.measure(boxes) - self.x[which]
+        self.x[which] += gain[:, :1] * off
+        self.v[which] += gain[:, 1:] * off
+        self.p[which] = p - gain[:, :, None] * p[:, None, 0, :]
 
     @property
-    def box(self) -> tuple[int, int, int, int]:
-        cx, cy, w, h = self.x[0], self.x[1], max(1.0, self.x[2]), max(1.0, self.x[3])
-        return tuple(int(round(t)) for t in (cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2))
+    def boxes(self) -> np.ndarray:
+        half = np.maximum(1.0, self.x[:, 2:]) / 2
+        return np.rint(np.concatenate((self.x[:, :2] - half, self.x[:, :2] + half), axis=1))
 
 
 def iou(a, b) -> float:
@@ -93,14 +106,37 @@ def iou(a, b) -> float:
     return inter / union if union else 0.0
 
 
-def _pair_cost(track: dict, box, angle: float, look: np.ndarray, width: int, height: int) -> float:
-    was = track["kalman"].box
-    center = np.hypot((was[0] + was[2] - box[0] - box[2]) / 2 / width, (was[1] + was[3] - box[1] - box[3]) / 2 / height)
-    ph, ch = max(1, was[3] - was[1]), max(1, box[3] - box[1])
-    if center > GATE_CENTER or abs((box[3] - box[1]) / ph - 1) > GATE_HEIGHT:
-        return FAR
-    turn = min(abs(track["angle"] - angle), 180.0) / 180.0
-    return COST["iou"] * (1 - iou(was, box)) + COST["center"] * center + COST["height"] * abs(np.log(ch / ph)) + COST["angle"] * turn + COST["appearance"] * float(np.linalg.norm(track["look"] - look)) / 255.0
+def _costs(was: np.ndarray, now: np.ndarray, angles: tuple[np.ndarray, np.ndarray], looks: tuple[np.ndarray, np.ndarray], width: int, height: int) -> np.ndarray:
+    """Costs of all tracks (rows) with all boxes; FAR outside the gates."""
+    a, b = was[:, None, :], now[None, :, :].astype(float)
+    center = np.hypot((a[..., 0] + a[..., 2] - b[..., 0] - b[..., 2]) / 2 / width, (a[..., 1] + a[..., 3] - b[..., 1] - b[..., 3]) / 2 / height)
+    ha, hb = np.maximum(1.0, a[..., 3] - a[..., 1]), b[..., 3] - b[..., 1]
+    inter = np.maximum(0, np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])) * np.maximum(0, np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1]))
+    area = lambda t: np.maximum(0, t[..., 2] - t[..., 0]) * np.maximum(0, t[..., 3] - t[..., 1])
+    union = area(a) + area(b) - inter
+    overlap = np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+    turn = np.minimum(np.abs(angles[0][:, None] - angles[1][None, :]), 180.0) / 180.0
+    look = np.linalg.norm(looks[0][:, None, :] - looks[1][None, :, :], axis=2) / 255.0
+    cost = COST["iou"] * (1 - overlap) + COST["center"] * center + COST["height"] * np.abs(np.log(np.maximum(1.0, hb) / ha)) + COST["angle"] * turn + COST["appearance"] * look
+    return np.where((center > GATE_CENTER) | (np.abs(hb / ha - 1) > GATE_HEIGHT), FAR, cost)
+
+
+def assign_sparse(cost: np.ndarray) -> list[tuple[int, int]]:
+    """``assign`` without pairs at FAR: rows and columns that no chain of possible pairs connects are matched apart, which changes nothing but time."""
+    n, m = cost.shape
+    near = cost < FAR
+    group_r, group_c = np.arange(n), np.full(m, n)
+    while True:
+        c = np.minimum(group_c, np.where(near, group_r[:, None], n).min(axis=0, initial=n))
+        r = np.minimum(group_r, np.where(near, c[None, :], n).min(axis=1, initial=n))
+        if np.array_equal(r, group_r) and np.array_equal(c, group_c):
+            break
+        group_r, group_c = r, c
+    out = []
+    for g in np.unique(group_c[group_c < n]):
+        rows, cols = np.flatnonzero(group_r == g), np.flatnonzero(group_c == g)
+        out += [(int(rows[i]), int(cols[j])) for i, j in assign(cost[np.ix_(rows, cols)]) if near[rows[i], cols[j]]]
+    return out
 
 
 def track_shot(rows: pd.DataFrame, frames: list[int], width: int = 1920, height: int = 1080) -> list[tuple[str, list[int]]]:
@@ -108,43 +144,45 @@ def track_shot(rows: pd.DataFrame, frames: list[int], width: int = 1920, height:
 
     ``frames`` are all frames of the shot in order, also those without detections. Ids are hashes of the first detection.
     """
+    frame_of, ids = rows.frame_index.to_numpy(), rows.det_id.tolist()
     by_frame: dict[int, list[int]] = {}
-    for i, f in enumerate(rows.frame_index.tolist()):
+    for i, f in enumerate(frame_of.tolist()):
         by_frame.setdefault(f, []).append(i)
-    boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy().tolist()
-    looks = rows[["look0", "look1", "look2"]].to_numpy(float)
-    angles, ids = rows.angle.tolist(), rows.det_id.tolist()
-    active: list[dict] = []
-    closed: list[dict] = []
+    boxes, angles, looks = rows[["x1", "y1", "x2", "y2"]].to_numpy(), rows.angle.to_numpy(float), rows[["look0", "look1", "look2"]].to_numpy(float)
+    filters = Kalman()
+    look, angle, last, missed = np.zeros((0, 3)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    members: list[list[int]] = []
+    closed: list[list[int]] = []
     for f in frames:
-        now = by_frame.get(f, [])
-        for t in active:
-            t["kalman"].predict(max(1, f - t["last"]))
-        taken_t: set[int] = set()
-        taken_d: set[int] = set()
-        if active and now:
-            cost = np.array([[_pair_cost(t, boxes[i], angles[i], looks[i], width, height) for i in now] for t in active])
-            for a, b in assign(cost):
-                if cost[a, b] >= REJECT:
-                    continue
-                t, i = active[a], now[b]
-                t["kalman"].update(boxes[i])
-                t["look"] = 0.75 * t["look"] + 0.25 * looks[i]
-                t["rows"].append(i)
-                t["missed"], t["last"], t["angle"] = 0, f, angles[i]
-                taken_t.add(a)
-                taken_d.add(b)
-        for a, t in enumerate(active):
-            if a not in taken_t:
-                t["missed"] += 1
-        for b, i in enumerate(now):
-            if b not in taken_d:
-                active.append({"kalman": Kalman(boxes[i]), "look": looks[i], "rows": [i], "missed": 0, "last": f, "angle": angles[i]})
-        closed += [t for t in active if t["missed"] > MAX_GAP]
-        active = [t for t in active if t["missed"] <= MAX_GAP]
-    frame_of = rows.frame_index.tolist()
-    found = [t for t in closed + active if len({frame_of[i] for i in t["rows"]}) >= MIN_FRAMES]
-    return [("trk_" + hashlib.sha256(str(ids[t["rows"][0]]).encode()).hexdigest()[:12], t["rows"]) for t in found]
+        now = np.array(by_frame.get(f, []), np.int64)
+        filters.predict(np.maximum(1, f - last))
+        free = np.ones(len(now), bool)
+        missed = missed + 1
+        if len(members) and len(now):
+            cost = _costs(filters.boxes, boxes[now], (angle, angles[now]), (look, looks[now]), width, height)
+            pairs = [(a, b) for a, b in assign_sparse(cost) if cost[a, b] < REJECT]
+            if pairs:
+                a, b = (np.array(x) for x in zip(*pairs, strict=True))
+                i = now[b]
+                filters.update(a, boxes[i])
+                look[a] = 0.75 * look[a] + 0.25 * looks[i]
+                missed[a], last[a], angle[a], free[b] = 0, f, angles[i], False
+                for t, d in zip(a.tolist(), i.tolist(), strict=True):
+                    members[t].append(d)
+        new = now[free]
+        if len(new):
+            filters.open(boxes[new])
+            look, angle = np.concatenate((look, looks[new])), np.concatenate((angle, angles[new]))
+            last, missed = np.concatenate((last, np.full(len(new), f))), np.concatenate((missed, np.zeros(len(new), np.int64)))
+            members += [[d] for d in new.tolist()]
+        alive = missed <= MAX_GAP
+        if not alive.all():
+            closed += [m for m, ok in zip(members, alive.tolist(), strict=True) if not ok]
+            members = [m for m, ok in zip(members, alive.tolist(), strict=True) if ok]
+            filters.keep(alive)
+            look, angle, last, missed = look[alive], angle[alive], last[alive], missed[alive]
+    found = [m for m in closed + members if len(set(frame_of[m].tolist())) >= MIN_FRAMES]
+    return [("trk_" + hashlib.sha256(str(ids[m[0]]).encode()).hexdigest()[:12], m) for m in found]
 
 
 def track(detections: DataFrame, key: list[str], first_frame: int = 0, frame_count: int | None = None, width: int = 1920, height: int = 1080) -> DataFrame:
