@@ -86,4 +86,7 @@ def utf8(texts: pa.Array) -> list[bytes | None]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one in fewer partitions than there are cores is dealt out to all of them, as the text work in a row outweighs its shuffle."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
