@@ -85,6 +85,21 @@ def utf8(texts: pa.Array) -> list[bytes | None]:
     return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
 
 
+#: Stretches of an order are at most so many, as their bounds pass through the driver; beyond, they hold more rows.
+MAX_BLOCKS = 20_000
+
+
+def block_of(cuts: Column, n: int, key: Column, below: bool) -> Column:
+    """How many of the ``n`` sorted ``cuts`` are less than ``key`` (or, not ``below``, at most it): a binary search in log n steps."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))]) if n else F.array().cast("array<int>")
+
+    def step(at: Column, s: Column) -> Column:
+        cut = F.try_element_at(cuts, at + s)
+        return F.when((at + s <= n) & F.coalesce(cut < key if below else cut <= key, F.lit(False)), at + s).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table; one in fewer partitions than there are cores is dealt out to all of them, as the text work in a row outweighs its shuffle."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Tables, utf8
+from tessera.llm._shared import MAX_BLOCKS, Tables, block_of, utf8
 
 K, TUPLE, ROWS = 6, 2, 32
 #: Positions that are hashed at a time; bounds memory for very long texts.
@@ -138,7 +138,7 @@ def compare_in_order(docs: DataFrame, rows_per_block: int = 2048, id_col: str =
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     base = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = base.count()
-    blocks = max(1, -(-total // rows_per_block))
+    blocks = min(MAX_BLOCKS, max(1, -(-total // rows_per_block)))
     keys = tables.write(base.select("key"))
     if total:
         # about even blocks; their exact bounds don't matter to the result
@@ -146,16 +146,9 @@ def compare_in_order(docs: DataFrame, rows_per_block: int = 2048, id_col: str =
     else:
         cuts = []
     bounds = spark.createDataFrame([(cuts,)], "cuts array<bigint>")
-    placed = F.array_size(F.filter(F.col("cuts"), lambda c: c < F.col("key"))) if len(cuts) < 64 else None
-    if placed is None:
-        # a binary search in the sorted bounds, folded over the bits of their number
-        steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
-        placed = F.lit(0)
-        for s in steps:
-            nxt = placed + s
-            placed = F.when((nxt <= len(cuts)) & (F.try_element_at("cuts", nxt) < F.col("key")), nxt).otherwise(placed)
-    dealt = base.crossJoin(F.broadcast(bounds)).withColumn("block", placed.cast("int")).drop("cuts")
-    heads = keys.crossJoin(F.broadcast(bounds)).withColumn("block", placed.cast("int")).groupBy("block").agg(F.min("key").alias("head"))
+    placed = block_of(F.col("cuts"), len(cuts), F.col("key"), below=True)
+    dealt = base.crossJoin(F.broadcast(bounds)).withColumn("block", placed).drop("cuts")
+    heads = keys.crossJoin(F.broadcast(bounds)).withColumn("block", placed).groupBy("block").agg(F.min("key").alias("head"))
     heads = [(r.block, r.head) for r in heads.orderBy("block").collect()]  # one for each block
     before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
     extra = spark.createDataFrame([(k, b) for k, b in before.items()], "key bigint, to int")

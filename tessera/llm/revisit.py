@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Tables
+from tessera.llm._shared import MAX_BLOCKS, Tables, block_of
 
 #: Header fields that a 304 may update, in lower case; RFC 9110 lists those that it should send.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning")
@@ -52,13 +52,10 @@ def resolve(captures: DataFrame, permitted: tuple[str, ...] = PERMITTED, rows_pe
     base = captures.select("record_id", "url", "ts", "kind", "status", "digest", head.alias("headers"), canonical(F.col("url")).alias("url_key"))
     base = tables.write(base.withColumn("can", F.col("url_key").isNotNull() & F.col("ts").isNotNull() & F.col("kind").isNotNull()))
     total = base.where("can").count()
-    blocks = max(1, -(-total // rows_per_block))
+    blocks = min(MAX_BLOCKS, max(1, -(-total // rows_per_block)))
     cuts = sorted(set(base.where("can").agg(F.approx_percentile("ts", [i / blocks for i in range(1, blocks)], 4 * blocks)).first()[0])) if blocks > 1 else []
     timed = base.where("can").crossJoin(F.broadcast(spark.createDataFrame([(cuts,)], "cuts array<bigint>")))
-    block = F.lit(0)
-    for s in [1 << i for i in reversed(range(len(cuts).bit_length()))]:
-        block = F.when((block + s <= len(cuts)) & (F.try_element_at("cuts", block + s) <= F.col("ts")), block + s).otherwise(block)
-    timed = timed.withColumn("block", block.cast("int")).drop("cuts")
+    timed = timed.withColumn("block", block_of(F.col("cuts"), len(cuts), F.col("ts"), below=False)).drop("cuts")
 
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     about = F.struct(F.col("record_id").alias("id"), "status", "digest", "headers")
