@@ -161,7 +161,8 @@ def links(distinct: DataFrame, chosen: list[tuple[list[int], int]], distance: in
         out = []
         for members in lists.to_pylist():
             x = np.sort(np.array(members, np.int64))
-            i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= distance, 1))
+            u = x.view(np.uint64)  # of signed values NumPy counts the bits of the absolute value
+            i, j = np.nonzero(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= distance, 1))
             out.append([{"a": int(a), "b": int(b)} for a, b in zip(x[i], x[j], strict=True)])
         return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 

@@ -110,3 +110,15 @@ def test_keep_one(edge, empty):
     assert kept.count() == groups
     ids = {r.doc_id for r in kept.collect()}
     assert {r.component_id for r in s.near_duplicates(edge).where(F.col("component_id").isNotNull()).collect()} <= ids
+
+
+def test_links_that_differ_in_the_highest_bit(spark):
+    unsigned = lambda x: x & (1 << 64) - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    bases = [int(x) for x in np.random.default_rng(63).integers(0, 1 << 64, 63, np.uint64)]
+    fps = sorted({signed(x) for k, b in enumerate(bases) for x in (b, b ^ 1 << 63 ^ 1 << k)} | {signed(bases[0] ^ (1 << 64) - 1)})
+    distinct, tables = spark.createDataFrame([(x, i) for i, x in enumerate(fps)], "fp long, low long"), Tables(spark)
+    edges = s.links(distinct, s.plan(distinct, len(fps), 2), 2, tables).collect()
+    near = lambda a, b: (unsigned(a) ^ unsigned(b)).bit_count() <= 2
+    assert {(e.a, e.b) for e in edges} == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if near(a, b)}
+    assert len(edges) >= 63
