@@ -6,7 +6,8 @@ space, hashed into ``BUCKETS`` cells. Training counts them by language over ever
 A document's language proportions are estimated by expectation maximisation: a 4-gram belongs to a
 language in proportion to the language's share of the document times its likelihood there. The set of languages
 is then chosen by penalised likelihood (languages whose shares nearly tie are ranked by the text's first fifth): the languages of largest shares are added one by one and the
-set of least ``k * penalty * log(n) - 2 * log likelihood / 4`` is kept (overlapping 4-grams count each byte four times).
+set of least ``k * penalty * log(n) - 2 * log likelihood / 4`` is kept (overlapping 4-grams count each byte four times). Their number has
+no limit: adding ends where not even the likelihood of all languages would pay for one more.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def proportions(likelihood: np.ndarray, n: np.ndarray, start: np.ndarray, rounds
     return share
 
 
-def infer(model: Model, data: bytes | None, penalty: float = 2.0, most: int = 3) -> tuple[str, float, list[str], list[float]]:
+def infer(model: Model, data: bytes | None, penalty: float = 2.0) -> tuple[str, float, list[str], list[float]]:
     """(language of largest share, its share, the chosen languages, their shares); und without a letter or a model."""
     und = ("und", 0.0, [], [])
     if not data or not model.languages or not (_ASCII_LETTER.search(data) or _LETTER.search(data.decode("utf-8", "replace"))):
@@ -107,8 +108,11 @@ def infer(model: Model, data: bytes | None, penalty: float = 2.0, most: int = 3)
     order = np.argsort(-share, kind="stable")
     best_one = int(np.argmax(single))
     chosen, shares, least = [best_one], np.array([1.0]), penalty * np.log(total) - single[best_one] / 2
-    for k in range(2, min(most, len(order)) + 1):
-        if share[order[k - 1]] < 0.02:
+    # no set's log likelihood exceeds this: the unrestricted estimate's and the most that any step from it can add
+    mixed = like @ share
+    bound = n @ np.log(mixed) + total * np.log(max(1.0, (like.T @ (n / mixed)).max() / total))
+    for k in range(2, len(order) + 1):
+        if k * penalty * np.log(total) - bound / 2 >= least:
             break
         own = order[:k]
         part = proportions(like[:, own], n, share[own] / share[own].sum())

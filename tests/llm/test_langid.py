@@ -53,3 +53,20 @@ def test_keeping(edge, empty):
     kept = g.keep_identified(edge)
     assert kept.columns == edge.columns and 0 < kept.count() < edge.count() and g.keep_identified(empty).count() == 0
     assert kept.where("text is null or text in ('', '...')").count() == 0
+
+
+def five(rounds=40):
+    """A model of five languages of distinct words, and words of each."""
+    words = {lang: [f"{a}{lang}{b}{lang}{a}" for a in "aeiou" for b in "bdfg"] for lang in "klmnp"}
+    counts = np.full((g.BUCKETS, 5), 0.05)
+    for i, ws in enumerate(words.values()):
+        counts[:, i] += np.bincount(g.grams(" ".join(ws * rounds).encode()), minlength=g.BUCKETS)
+    return g.Model(tuple(words), counts / counts.sum(axis=0)), {k: " ".join(ws * 5) for k, ws in words.items()}
+
+
+def test_all_languages_of_a_text_are_named():
+    model, by = five()
+    _, score, names, shares = g.infer(model, " ".join(by.values()).encode())
+    assert set(names) == set("klmnp") and np.abs(np.array(shares) - 0.2).max() < 0.05
+    assert score < 1 / 3  # so keep_identified rejects it
+    assert g.infer(model, by["k"].encode())[2] == ["k"]
