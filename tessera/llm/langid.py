@@ -5,7 +5,7 @@ space, hashed into ``BUCKETS`` cells. Training counts them by language over ever
 
 A document's language proportions are estimated by expectation maximisation: a 4-gram belongs to a
 language in proportion to the language's share of the document times its likelihood there. The set of languages
-is then chosen by penalised likelihood (languages whose shares nearly tie are ranked by the text's first fifth): the languages of largest shares are added one by one and the
+is then chosen by penalised likelihood: the languages of largest shares are added one by one and the
 set of least ``k * penalty * log(n) - 2 * log likelihood / 4`` is kept (overlapping 4-grams count each byte four times). Their number has
 no limit: adding ends where not even the likelihood of all languages would pay for one more.
 """
@@ -26,8 +26,6 @@ from tessera.llm._shared import utf8
 BUCKETS = 1 << 16
 #: More languages than this would make the model, which each executor holds, larger than 256 MB.
 MAX_LANGUAGES = 512
-#: Shares of at least this part of the largest count as tied with it.
-NEAR_TIE = 0.9
 _CLASS = np.array([b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 0 if b < 128 else 32 + (b & 31) for b in range(256)], np.uint32)
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -119,13 +117,8 @@ def infer(model: Model, data: bytes | None, penalty: float = 2.0) -> tuple[str,
         cost = k * penalty * np.log(total) - n @ np.log(like[:, own] @ part) / 2
         if cost < least:
             chosen, shares, least = own.tolist(), part, cost
-    top = int(np.argmax(shares))
-    if len(chosen) > 1:
-        # languages of about equal shares: the one that the text opens in
-        close = np.flatnonzero(shares >= NEAR_TIE * shares[top])
-        opening = grams(data[: max(16, len(data) // 5)])
-        if len(close) > 1 and len(opening):
-            top = int(close[np.argmax(np.log(model.likelihood[opening][:, [chosen[i] for i in close]]).sum(axis=0))])
+    # the largest share of the whole text; equal shares by the order of names
+    top = min(range(len(chosen)), key=lambda i: (-shares[i], model.languages[chosen[i]]))
     # the unrestricted estimate says how sure a single language is
     score = float(shares[top]) if len(chosen) > 1 else float(share[chosen[0]])
     return model.languages[chosen[top]], min(1.0, max(0.0, score)), [model.languages[i] for i in chosen], [float(x) for x in shares]

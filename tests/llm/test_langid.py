@@ -70,3 +70,12 @@ def test_all_languages_of_a_text_are_named():
     assert set(names) == set("klmnp") and np.abs(np.array(shares) - 0.2).max() < 0.05
     assert score < 1 / 3  # so keep_identified rejects it
     assert g.infer(model, by["k"].encode())[2] == ["k"]
+
+
+def test_the_whole_text_decides():
+    model, by = five()
+    text = by["k"] + " " + by["m"] + " " + " ".join(by["m"].split()[:4])
+    for data in (text, " ".join(reversed(text.split()))):
+        lang, score, names, shares = g.infer(model, data.encode())
+        assert set(names) == {"k", "m"} and min(shares) >= 0.9 * max(shares)
+        assert lang == "m" and score == max(shares)
