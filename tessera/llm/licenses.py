@@ -35,7 +35,7 @@ LICENSES: dict[str, tuple[tuple[str, ...], str, str]] = {
     "bsd": (("bsd",), r"(?:original |4[- ]clause )?bsd(?:[- ]style)?", r"bsd-4-clause"),
     "mpl": (("mpl", "mozilla"), r"(?:mozilla public licen[sc]e|mpl)(?:,? ?v?(?:ersion)? ?[12]\.[01])?", r"mpl-[12]\.[01]"),
     "epl": (("epl", "eclipse"), r"(?:eclipse public licen[sc]e|epl)(?:[- ,]*v?(?:ersion)? ?[12]\.0)?", r"epl-[12]\.0"),
-    "edl": (("eclipse",), r"eclipse distribution licen[sc]e", r"edl-1\.0"),
+    "edl": (("eclipse", "edl"), r"eclipse distribution licen[sc]e", r"edl-1\.0"),
     "cddl": (("cddl", "common development"), r"(?:common development and distribution licen[sc]e|cddl)", r"cddl-1\.[01]"),
     "cpl": (("common public", "cpl"), r"(?:common public licen[sc]e|cpl ?1\.0)", r"cpl-1\.0"),
     "eupl": (("eupl", "european union public"), r"(?:european union public licen[sc]e|eupl)", r"eupl-1\.[012]"),
@@ -89,12 +89,12 @@ FAMILIES: tuple[tuple[str, int, float, str], ...] = (
 #: (label, rule, priority, confidence, keyword, pattern): sentences and addresses of licenses' own
 SENTENCES: tuple[tuple[str, str, int, float, str, str], ...] = (
     ("mit", "mit-text", 95, 1.0, "permission is hereby granted", r"permission is hereby granted,\s+free of charge,\s+to any person obtaining a copy"),
-    ("isc", "isc-text", 95, 1.0, "permission to use, copy", r"permission to use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute this software for any purpose"),
+    ("isc", "isc-text", 95, 1.0, "permission to use", r"permission to use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute this software for any purpose"),
     ("bsd", "bsd-text", 88, 0.9, "redistribution and use", r"redistribution and use in source and binary forms,\s+with or without\s+modification,\s+are permitted"),
     ("bsd-3-clause", "bsd-3-text", 92, 0.9, "endorse or promote", r"neither the names? of .{0,80}?\bmay be used to\s+endorse or promote products"),
     ("gpl", "gpl-text", 90, 0.95, "free software foundation", r"it under the terms of the gnu general public licen[sc]e\s+as\s+published by\s+the free software foundation"),
     ("unlicense", "unlicense-text", 90, 0.95, "public domain", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", "public-domain", 50, 0.6, "public domain", r"(?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain"),
+    ("public-domain", "public-domain", 50, 0.6, "domain", r"(?:released|placed|dedicated)\s+(?:in)?to\s+the\s+public\s+domain"),
     ("proprietary", "all-rights-reserved", 40, 0.5, "all rights reserved", r"all rights reserved"),
     ("apache", "apache-url", 92, 1.0, "apache.org/licenses", r"apache\.org/licenses/license-[12]\.[01]"),
     ("gpl", "gnu-url", 75, 0.7, "gnu.org/licenses", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
@@ -110,8 +110,8 @@ SENTENCES: tuple[tuple[str, str, int, float, str, str], ...] = (
     ("cc-by-nc-sa", "cc-by-nc-sa-url", 92, 1.0, "creativecommons.org", r"creativecommons\.org/licenses/by-nc-sa/"),
     ("cc-by-nc-nd", "cc-by-nc-nd-url", 92, 1.0, "creativecommons.org", r"creativecommons\.org/licenses/by-nc-nd/"),
 )
-#: Some word that every family's text holds; without any the rules of families can't match.
-GENERAL = ("licen", " under", "\nunder", "terms of", "conditions of", "provisions of", "under\t")
+#: Some word that every family's text holds; without any the rules of families can't match. Bare words, as any white space may follow.
+GENERAL = ("licen", "under", "terms", "conditions", "provisions")
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 _ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))

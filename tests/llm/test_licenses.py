@@ -68,3 +68,37 @@ def test_edge_rows(spark, edge, empty, docs):
         if r.text and len(r.text) < 3000:
             assert {(f.rule, f.start, f.stop) for f in r.found if f.kept} == brute_found(r.text)
     assert lic.scan(empty).count() == 0
+
+
+def texts_of(parsed, r):
+    """A text that a parsed pattern matches, white space of any kind."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "ANY":
+            out += "x"
+        elif op == "IN":
+            kind, value = r.choice([x for x in arg if str(x[0]) != "NEGATE"])
+            out += chr(value if str(kind) == "LITERAL" else value[0]) if str(kind) in ("LITERAL", "RANGE") else "x" if "WORD" in str(value) else r.choice(" \n\t\u2003")
+        elif op == "MAX_REPEAT":
+            low, high, sub = arg
+            out += "".join(texts_of(sub, r) for _ in range(r.randint(low, min(high, low + 2))))
+        elif op == "SUBPATTERN":
+            out += texts_of(arg[3], r)
+        elif op == "BRANCH":
+            out += texts_of(r.choice(arg[1]), r)
+    return out
+
+
+def test_no_gate_loses_a_rule():
+    import random
+    from re import _parser
+
+    r, scanner = random.Random(11), lic.Scanner(lic.rules())
+    broken = ["under gplv3 since 2009.", "code (under gplv3).", "the terms\nof the gplv2 apply", "see terms of the gpl", "\"under\tgplv3", "conditions\nof the gpl", "provisions\tof gplv2", "released into the public\ndomain", "permission to use,\ncopy, modify, and distribute this software for any purpose"]
+    made = [texts_of(_parser.parse(x.pattern), r) for x in lic.rules() for _ in range(3)]
+    lost = [t for t in broken + [r.choice(("", "(", "\"", "\t")) + t for t in made] if {(x.name, a, b) for x, a, b, k in scanner.detect(t.encode()) if k} != brute_found(t)]
+    assert not lost, lost
+    assert all(brute_found(t) for t in broken)
