@@ -173,10 +173,9 @@ def e14_clusters(spark, sf_dir):
 
 @query()
 def f05_diverse_references(spark, sf_dir):
-    d = detections(spark, sf_dir).where("job_id = 1")
-    f = d.groupBy("frame_index").agg(F.avg("confidence").alias("s"))
-    a, b = f.select(F.col("frame_index").alias("target")), f.select(F.col("frame_index").alias("ref"), "s")
-    near = a.join(b, F.abs(F.col("target") - F.col("ref")).between(1, 20)).select(F.lit(1).alias("job_id"), "target", "ref", (F.col("s") * F.exp(-F.abs(F.col("target") - F.col("ref")) / 8.5)).alias("score"))
+    f = detections(spark, sf_dir).groupBy("job_id", "frame_index").agg(F.avg("confidence").alias("s"))
+    a, b = f.select("job_id", F.col("frame_index").alias("target")), f.select("job_id", F.col("frame_index").alias("ref"), "s")
+    near = a.join(b, "job_id").where(F.abs(F.col("target") - F.col("ref")).between(1, 20)).select("job_id", "target", "ref", (F.col("s") * F.exp(-F.abs(F.col("target") - F.col("ref")) / 8.5)).alias("score"))
     return tracking.diverse_references(near, ["job_id"])
 
 

@@ -16,3 +16,12 @@ def test_fast_hash_of_long_texts(spark, tmp_path):
 
     got = {r.doc_id: r.fast for r in QUERIES["b14_fast_hash"](spark, str(tmp_path)).collect()}
     assert got == {i: fast(i, t.encode()) for i, t in enumerate(texts)}
+
+
+def test_diverse_references_of_every_job(spark, sf_dir):
+    frames = detections(spark, sf_dir).select("job_id", "frame_index").distinct().collect()
+    of = {(r.job_id, r.frame_index) for r in frames}
+    want = {(j, t) for j, t in of if any((j, t + k) in of for k in range(-20, 21) if k)}
+    rows = QUERIES["f05_diverse_references"](spark, sf_dir).collect()
+    assert {(r.job_id, r.target) for r in rows} == want and len({j for j, _ in want}) > 1
+    assert all((r.job_id, r.ref) in of and 1 <= abs(r.target - r.ref) <= 20 for r in rows)
