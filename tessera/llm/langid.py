@@ -27,7 +27,6 @@ BUCKETS = 1 << 16
 #: More languages than this would make the model, which each executor holds, larger than 256 MB.
 MAX_LANGUAGES = 512
 _CLASS = np.array([b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 0 if b < 128 else 32 + (b & 31) for b in range(256)], np.uint32)
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -39,15 +38,21 @@ class Model:
 
 
 def grams(data: bytes) -> np.ndarray:
-    """The hashed 4-grams of a text with a space before and after it; runs of blanks give none."""
+    """The hashed 4-grams of a text with a space before and after it; runs of blanks count as one, but any letter gives a gram."""
     c = _CLASS[np.frombuffer(b" " + data + b"  ", np.uint8)]
     c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]
     if len(c) < 4:
-        return np.zeros(0, np.uint16)
+        if not c.any():
+            return np.zeros(0, np.uint16)
+        c = np.concatenate((c, np.zeros(4 - len(c), np.uint32)))
     code = (c[:-3] << 18) | (c[1:-2] << 12) | (c[2:-1] << 6) | c[3:]
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
+def has_letter(data: bytes) -> bool:
+    return bool(_ASCII_LETTER.search(data)) or any(map(str.isalpha, data.decode("utf-8", "replace")))
+
+
 def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
 
@@ -91,11 +96,9 @@ def proportions(likelihood: np.ndarray, n: np.ndarray, start: np.ndarray, rounds
 def infer(model: Model, data: bytes | None, penalty: float = 2.0) -> tuple[str, float, list[str], list[float]]:
     """(language of largest share, its share, the chosen languages, their shares); und without a letter or a model."""
     und = ("und", 0.0, [], [])
-    if not data or not model.languages or not (_ASCII_LETTER.search(data) or _LETTER.search(data.decode("utf-8", "replace"))):
+    if not data or not model.languages or not has_letter(data):
         return und
     cells, n = np.unique(grams(data), return_counts=True)
-    if not len(cells):
-        return und
     like, total = model.likelihood[cells], n.sum()
     single = n @ np.log(like)
     if like.shape[1] == 1:
@@ -125,7 +128,12 @@ def infer(model: Model, data: bytes | None, penalty: float = 2.0) -> tuple[str,
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = 2.0, to: str = "language") -> DataFrame:
-    """``docs`` with the struct ``to``: lang, score, languages, shares. Only the text is read."""
+    """``docs`` with the struct ``to``: lang, score, languages, shares. Only the text is read.
+
+    Null texts, texts without a letter and every text of a model without languages give ``und``, score 0 and no languages; any other text,
+    however short, gets a language of the model. Texts are read whole whatever their length. Equal shares go to the name that sorts
+    first; repeated rows give the same. A column named ``to`` is replaced, all others pass through.
+    """
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.likelihood))
 
     @F.arrow_udf("struct<lang:string,score:double,languages:array<string>,shares:array<double>>")

@@ -43,8 +43,7 @@ def test_edge_rows(edge, empty, docs):
     assert len(rows) == edge.count()
     for r in rows:
         letters = any(c.isalpha() for c in r.text or "")
-        assert letters or (r.lang, r.score) == ("und", 0.0)
-        assert r.lang in (*model.languages, "und")
+        assert r.lang in model.languages and 0 < r.score <= 1 if letters else (r.lang, r.score) == ("und", 0.0)
     assert g.identify(empty, model).count() == 0
     assert g.infer(g.fit(empty), b"text")[0] == "und"
 
@@ -79,3 +78,17 @@ def test_the_whole_text_decides():
         lang, score, names, shares = g.infer(model, data.encode())
         assert set(names) == {"k", "m"} and min(shares) >= 0.9 * max(shares)
         assert lang == "m" and score == max(shares)
+
+
+def test_any_letter_gets_a_language(docs):
+    model = g.fit(docs)
+    for text in ("a", "I", "a.", " . x . ", "é", "日", "7 я", "\u00a0ß"):
+        lang, score, names, shares = g.infer(model, text.encode())
+        assert lang in model.languages and 0 < score <= 1 and names and abs(sum(shares) - 1) < 1e-9
+    for text in ("", "7", "², ½", "_", "\u00a0", "—"):
+        assert g.infer(model, text.encode()) == ("und", 0.0, [], [])
+
+
+def test_column_of_the_same_name_is_replaced(edge, docs):
+    found = g.identify(edge, g.fit(docs))
+    assert sorted(found.columns) == sorted(edge.columns) and found.schema["language"].dataType.typeName() == "struct"
