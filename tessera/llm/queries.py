@@ -83,7 +83,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    counted = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
