@@ -95,16 +95,16 @@ def match(urls: DataFrame, rules: DataFrame, tables: Tables) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url: str = "url", label_id: str = "doc_id", bad: str = "toxic", default: str = "allow", **options) -> DataFrame:
     """A row for each page: id, host, path, rule (of the list, else null), verdict, mined (the mined rule that decided, else null), confidence.
 
-    Urls are labelled by the list where it fits, else block where a row of ``labels`` for the id has ``bad`` above 0 and
-    allow where all have 0. Unlabelled urls train nothing. Null urls have empty host and path and the default verdict; a page that is labelled twice is
-    bad if any label says so. Without labels nothing is mined.
+    Urls are labelled block where a row of ``labels`` for the id has ``bad`` above 0 and allow where all have 0; the list's own verdicts train
+    nothing, so a mined rule never echoes the list. Unlabelled urls train nothing. Null urls have empty host and path and the default
+    verdict; a page that is labelled twice is bad if any label says so. Without labels nothing is mined.
     """
     tables = Tables(pages.sparkSession)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     base = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
     base = tables.write(base.select("id", "host", "path", listed(F.col("host"), F.col("path"), rules).alias("list"), F.coalesce(tokens(F.col("url"), F.col("host"), F.col("path")), F.array().cast("array<string>")).alias("items")))
     marks = labels.where(F.col(label_id).isNotNull() & F.col(bad).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.when(F.max(bad) > 0, "block").otherwise("allow").alias("mark"))
-    labelled = base.join(marks, "id", "left").select("items", F.coalesce("list.verdict", "mark").alias("label")).where(F.col("label").isNotNull() & (F.size("items") > 0))
+    labelled = base.where(F.size("items") > 0).join(marks, "id").select("items", F.col("mark").alias("label"))
     found = match(base, mine(tables.write(labelled), tables, **options), tables)
     out = base.join(found, "items", "left")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("list.rule").alias("rule"), F.coalesce("list.verdict", "best.label", F.lit(default)).alias("verdict"), F.when(F.col("list").isNull(), F.col("best.rule")).alias("mined"), F.when(F.col("list").isNull(), F.col("best.confidence")).alias("confidence"))
