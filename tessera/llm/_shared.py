@@ -16,10 +16,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set."""
+    """The folder that the driver and all executors share. Where none is set a local session gets a temporary one; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
     return _own_dir[0]
@@ -100,8 +102,13 @@ def block_of(cuts: Column, n: int, key: Column, below: bool) -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
+#: A table of more bytes is never dealt out again.
+SMALL_TABLE = 1 << 30
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table; one in fewer partitions than there are cores is dealt out to all of them, as the text work in a row outweighs its shuffle."""
+    """A table; a small one in fewer partitions than there are cores is dealt out to all of them, as the text work in a row outweighs its shuffle."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    run, cores = df._jdf.queryExecution(), spark.sparkContext.defaultParallelism
+    small = int(run.optimizedPlan().stats().sizeInBytes()) <= SMALL_TABLE
+    return df.repartition(cores) if small and run.toRdd().getNumPartitions() < cores else df
