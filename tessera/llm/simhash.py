@@ -13,6 +13,8 @@ A small bucket is compared pair by pair. A large bucket is not: there every memb
 centres within half the distance of it, and two fingerprints meet at a centre exactly when their
 distance is at most ``distance``. The members at one centre are bounded by the size of that ball, so no group is
 ever expanded into all of its pairs and no link is lost.
+
+``neartexts`` is this operator's form for a similarity of texts rather than a number of bits.
 """
 
 from __future__ import annotations
@@ -181,14 +183,15 @@ def links(distinct: DataFrame, chosen: list[tuple[list[int], int]], distance: in
     return tables.write(near.unionByName(far).distinct())
 
 
-def components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, root) for every node of an edge, root the smallest node reachable.
 
     Alternating large-star and small-star steps; each is an aggregation and a join on edges, and both
-    only ever hold as many edges as there were. Each round is a written table.
+    only ever hold as many edges as there were. Each round is a written table. The rounds are of the order of the squared logarithm of the
+    edges, and end when one changes nothing.
     """
     now, seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v")), None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -204,8 +207,6 @@ def components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("the components did not settle")
     roots = now.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -231,19 +232,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
     of = placed.join(placed.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id", "root")
     return rows.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
 
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, with all of its columns: the one of the smallest id.
-
-    Where that id occurs in several rows, or all ids are null, it is the row that compares smallest as a whole.
-    """
-    found = near_duplicates(docs, id_col=id_col, text=text)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    counts = kept.agg(F.count("*").alias("rows"), F.count_distinct("root").alias("groups"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
-    ids = kept.select(F.col(id_col).alias("_kept_id"), F.col("fp").alias("_kept_fp"), F.col("root").alias("_kept_root")).distinct()
-    out = docs.join(ids, docs[id_col].eqNullSafe(ids["_kept_id"]), "left_semi")
-    if counts.rows != counts.groups or counts.nulls:  # rare: ids that repeat or are null
-        packed = fingerprints(out.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("text")))
-        placed = packed.join(ids, (packed["fp"] == ids["_kept_fp"]) & packed[f"_row.{id_col}"].eqNullSafe(ids["_kept_id"]))
-        out = placed.groupBy("_kept_root").agg(F.min("_row").alias("_row")).select("_row.*")
-    return out.select(*docs.columns)

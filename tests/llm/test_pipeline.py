@@ -5,10 +5,10 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as p
-from tessera.llm import decontam, langid, mixing, queries, simhash
+from tessera.llm import mixing, queries
 from tests.compare import duck, same
 from tests.llm.test_decontam import brute
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_neartexts import brute_roots, brute_shingles
 
 
 def test_stages(spark, sf_dir, docs):
@@ -22,10 +22,10 @@ def test_stages(spark, sf_dir, docs):
         if name == "language":
             assert 0.98 * len(seen) <= len(rows) <= len(seen)
         if name == "near_duplicates":
-            roots = brute_components({brute_fp(r.text) for r in seen}, 2)
+            roots, _ = brute_roots([brute_shingles(r.text) for r in seen])
             low = {}
-            for r in seen:
-                low[roots[brute_fp(r.text)]] = min(r.doc_id, low.get(roots[brute_fp(r.text)], r.doc_id))
+            for r, root in zip(seen, roots, strict=True):
+                low[root] = min(r.doc_id, low.get(root, r.doc_id))
             assert sorted(r.doc_id for r in rows) == sorted(low.values())
         if name == "decontaminate":
             bad = {i for i, _, _, _, c in brute([(r.doc_id, r.text) for r in seen], bench, 13) if c}
@@ -63,4 +63,4 @@ def test_queries_keep_every_row(spark, sf_dir, name):
 def test_registered():
     import __spark_entry__ as e
 
-    assert {"pipeline", *queries.QUERIES} <= set(e.queries()) and (decontam, langid, simhash)
+    assert {"pipeline", *queries.QUERIES} <= set(e.queries())

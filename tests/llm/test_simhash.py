@@ -103,15 +103,6 @@ def test_allocation_is_optimal():
     assert c == best and sum(chosen) == 0
 
 
-def test_keep_one(edge, empty):
-    kept = s.keep_one(edge)
-    assert kept.columns == edge.columns and s.keep_one(empty).count() == 0
-    groups = s.near_duplicates(edge).select("root").distinct().count()
-    assert kept.count() == groups
-    ids = {r.doc_id for r in kept.collect()}
-    assert {r.component_id for r in s.near_duplicates(edge).where(F.col("component_id").isNotNull()).collect()} <= ids
-
-
 def test_links_that_differ_in_the_highest_bit(spark):
     unsigned = lambda x: x & (1 << 64) - 1
     signed = lambda x: x - (1 << 64) if x >> 63 else x
