@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What stands between words in the two tokenisations that the operators use.
@@ -91,6 +91,24 @@ def utf8(texts: pa.Array) -> list[bytes | None]:
 MAX_BLOCKS = 20_000
 
 
+#: A running sum is made in stretches of so many places, then over stretches.
+STRETCH = 4096
+
+
+def running(counts: DataFrame, by: list[str], at: str, n: str, to: str) -> DataFrame:
+    """``counts`` with the long ``to``: the sum of ``n`` at smaller whole places ``at`` of the same ``by``.
+
+    Two steps, so that what meets in one task is a stretch of places, then one row for each stretch.
+    """
+    stretch, before = F.floor(F.col(at) / STRETCH).cast("long").alias("_stretch"), (Window.unboundedPreceding, -1)
+    cut = counts.select("*", stretch)
+    sums = cut.groupBy(*by, "_stretch").agg(F.sum(n).alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_stretch").rowsBetween(*before))
+    sums = sums.select(*by, "_stretch", F.coalesce(ahead, F.lit(0)).cast("long").alias("_ahead"))
+    inside = F.sum(n).over(Window.partitionBy(*by, "_stretch").orderBy(at).rowsBetween(*before))
+    return cut.join(sums, [*by, "_stretch"]).select(*[c for c in counts.columns], (F.col("_ahead") + F.coalesce(inside, F.lit(0))).cast("long").alias(to))
+
+
 def block_of(cuts: Column, n: int, key: Column, below: bool) -> Column:
     """How many of the ``n`` sorted ``cuts`` are less than ``key`` (or, not ``below``, at most it): a binary search in log n steps."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))]) if n else F.array().cast("array<int>")

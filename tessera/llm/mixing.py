@@ -12,6 +12,7 @@ Rates become whole copies by systematic rounding over documents in order of size
 fractions decides where it passes a whole number. The words then still missing or in excess (less than
 the largest document) are made up from the smallest documents on. Which documents of one source and size get the extra
 copy is decided by a seeded hash, ranked inside hash buckets, so that no source, size or group of copies has to meet in one task.
+Repeated rows are one row with their number throughout.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Tables, source_key
+from tessera.llm._shared import Tables, running, source_key
 
 #: Fractions of a copy are counted in parts of this many, so that sums don't depend on their order.
 UNIT = 1_000_000
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 512
 
 
 def word_count(text: Column) -> Column:
@@ -94,20 +95,28 @@ def _solve(hist: DataFrame, wanted: DataFrame, cap: int, tables: Tables, toleran
     return state.select("sk", "target", "mean", "lam")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, rows_per_bucket: int = ROWS_PER_BUCKET, id_col: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
-    """A row for each document: id, source, size, source_size, target, rate, copies; all of its columns, packed in ``row``, if ``carry``.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, rows_per_bucket: int = ROWS_PER_BUCKET, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """A row for each document: id, source, size, source_size, target, rate, copies.
 
     Null and empty texts have size 0 and are taken at one copy: they cost no words. Null is a source of its own and the last. Repeated rows are
     documents of their own. A table without words has targets of 0. The same rows and seed give the same copies.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark)
-    buckets = max(1, ceil(docs.count() / rows_per_bucket))
-    h = F.xxhash64(F.col(id_col), F.col(text), F.lit(seed))
-    base = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), source_key(F.col(source)).alias("sk"), word_count(F.col(text)).alias("size"), h.alias("h"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []))
+    light = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"), F.lit(0).cast("long").alias("r"))
+    each = _mixed(light, weights, cap, seed, rows_per_bucket).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    copies = (F.col("whole") + F.when(F.col("i") <= F.col("extra"), 1).otherwise(0)).cast("long")
+    return each.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", "rate", copies.alias("copies"))
+
+
+def _mixed(light: DataFrame, weights: tuple[float, ...], cap: int, seed: int, rows_per_bucket: int) -> DataFrame:
+    """For the rows (id, source, text, r) of ``light``, a row for each distinct one: n of them take ``whole`` copies each and ``extra`` of them one more."""
+    tables = Tables(light.sparkSession)
+    h = F.xxhash64(F.col("id"), F.col("text"), F.lit(seed))
+    base = light.select("id", "source", source_key(F.col("source")).alias("sk"), word_count(F.col("text")).alias("size"), h.alias("h"), "r")
+    base = tables.write(base.groupBy(*base.columns).agg(F.count("*").alias("n")))
+    buckets = max(1, ceil((base.agg(F.sum("n")).first()[0] or 0) / rows_per_bucket))
     base = base.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 8), F.lit(buckets)))
 
-    parts = tables.write(base.groupBy("sk", "size", "bucket").agg(F.count("*").alias("n")))
+    parts = tables.write(base.groupBy("sk", "size", "bucket").agg(F.sum("n").alias("n")))
     hist = tables.write(parts.groupBy("sk", "size").agg(F.sum("n").alias("n")))
     wanted = tables.write(targets(hist.groupBy("sk").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap))
     solved = _solve(hist, wanted, cap, tables)
@@ -126,16 +135,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, s
     used = F.coalesce(F.sum(F.col("size") * F.col("can")).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     more = F.least(F.col("can"), F.greatest(F.floor((F.abs("missing") - used) / F.greatest("size", F.lit(1))), F.lit(0)))
     cells = cells.select("sk", "size", "source_size", "target", "rate", "whole", (F.col("up") + F.when(F.col("missing") > 0, more).otherwise(-more)).alias("up"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("sk", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    decided = tables.write(parts.select("sk", "size", "bucket", ahead.alias("ahead")).join(cells, ["sk", "size"]))
+    decided = tables.write(running(parts, ["sk", "size"], "bucket", "n", "ahead").drop("n").join(cells, ["sk", "size"]))
 
-    rank = F.row_number().over(Window.partitionBy("sk", "size", "bucket").orderBy("h", "id")) + F.col("ahead")
-    copies = (F.col("whole") + F.when(rank <= F.col("up"), 1).otherwise(0)).cast("long")
-    out = base.join(decided, ["sk", "size", "bucket"]).withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source), "size", "source_size", "target", "rate", "copies", *(["row"] if carry else []))
+    earlier = F.sum("n").over(Window.partitionBy("sk", "size", "bucket").orderBy("h", "id", "r").rowsBetween(Window.unboundedPreceding, -1))
+    out = base.join(decided, ["sk", "size", "bucket"]).withColumn("before", F.col("ahead") + F.coalesce(earlier, F.lit(0)))
+    extra = F.least(F.col("n"), F.greatest(F.col("up") - F.col("before"), F.lit(0)))
+    return out.select("id", "source", "h", "r", "n", "size", "source_size", "target", "rate", F.col("whole").cast("long").alias("whole"), extra.cast("long").alias("extra"))
 
 
-def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: every document as often as the mix takes it, with all of its columns."""
-    mixed = mix(docs, carry=True, **options)
-    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
+def repeat(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, rows_per_bucket: int = ROWS_PER_BUCKET, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mixture itself: every document as often as the mix takes it, with all of its columns.
+
+    Rows are told apart by all of their columns, so reruns agree where rows of one id and text differ in others.
+    """
+    r = F.xxhash64(*[F.col(c) for c in docs.columns])
+    light = docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(text).alias("text"), r.alias("r"))
+    taken = _mixed(light, weights, cap, seed, rows_per_bucket).select("h", "r", (F.col("n") * F.col("whole") + F.col("extra")).alias("copies")).where("copies > 0")
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text), F.lit(seed)).alias("h"), r.alias("r"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    rows = rows.groupBy("h", "r").agg(F.any_value("row").alias("row"))
+    return rows.join(taken, ["h", "r"]).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

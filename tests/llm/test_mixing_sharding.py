@@ -107,3 +107,39 @@ def test_shards_have_the_mixture(docs):
 
 def test_no_rows(empty):
     assert s.interleave(empty).count() == 0
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """One row 5000 times, a text of 500 ids and a few others."""
+    rows = [(1, "a b c", "x", None)] * 5000 + [(i, "d e", "y", i) for i in range(500)] + [(7, "f", None, 1), (7, "f", None, 2), (7, "f", None, 2)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(6)
+
+
+def test_repeated_rows_meet_in_no_bucket(repeated):
+    rows = check(repeated, 0.01)
+    assert len(rows) == repeated.count()
+    placed = s.interleave(repeated, shards=7, rows_per_bucket=16).collect()
+    n = Counter(r.shard for r in placed)
+    assert len(placed) == len(rows) and max(n.values()) - min(n.values()) <= 1
+    assert all(sorted(r.slot for r in placed if r.shard == k) == list(range(v)) for k, v in n.items())
+    of = Counter((r.shard, r.source) for r in placed)
+    assert all(abs(of[k, "x"] - 5000 / 7) <= 1.5 for k in n)
+
+
+def test_repeat_agrees_over_reruns(repeated):
+    rows = lambda df: Counter(map(tuple, m.repeat(df, rows_per_bucket=16).collect()))
+    first = rows(repeated)
+    assert first == rows(repeated.repartition(3)) and {x[3] for x in first if x[0] == 7 and x[2] is None} <= {1, 2}
+    assert sum(first.values()) == sum(r.copies for r in m.mix(repeated, rows_per_bucket=16).collect())
+
+
+def test_running_sums(spark):
+    from tessera.llm import _shared
+
+    counts = [(k, at * 3, (at * 7 + k) % 11) for k in (1, 2) for at in range(9000)]
+    got = {(r.k, r["at"]): r.before for r in _shared.running(spark.createDataFrame(counts, "k int, at long, n long"), ["k"], "at", "n", "before").collect()}
+    total = Counter()
+    for k, at, n in counts:
+        assert got[k, at] == total[k]
+        total[k] += n
