@@ -83,12 +83,11 @@ def set_anti_overlap(new: DataFrame, known: DataFrame, key: list[str], above: fl
     return new.join(other, on, "left_anti")
 
 
-def fallback_lookup(rows: DataFrame, by_index: DataFrame, by_pts: DataFrame, index: str = "frame_index", pts: str = "pts_us", value: str = "path") -> DataFrame:
-    """With ``value`` from the index table, else from the time table, else null. Both tables have one row for a key."""
-    a = by_index.select(F.col(index).alias("_i"), F.col(value).alias("_a"))
-    b = by_pts.select(F.col(pts).alias("_p"), F.col(value).alias("_b"))
-    out = rows.join(a, rows[index] == a["_i"], "left").join(b, rows[pts] == b["_p"], "left")
-    return out.withColumn(value, F.coalesce("_a", "_b")).drop("_i", "_a", "_p", "_b")
+def fallback_lookup(rows: DataFrame, by_index: DataFrame, by_pts: DataFrame, key: list[str], index: str = "frame_index", pts: str = "pts_us", value: str = "path") -> DataFrame:
+    """With ``value`` from the key's index table, else from its time table, else null. Both tables have one row for a key and place."""
+    a, b = by_index.select(*key, index, F.col(value).alias("_a")), by_pts.select(*key, pts, F.col(value).alias("_b"))
+    out = rows.join(a, [*key, index], "left").join(b, [*key, pts], "left")
+    return out.select(*rows.columns, F.coalesce("_a", "_b").alias(value))
 
 
 def zip_strict(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

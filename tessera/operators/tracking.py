@@ -139,50 +139,99 @@ def assign_sparse(cost: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def track_shot(rows: pd.DataFrame, frames: list[int], width: int = 1920, height: int = 1080) -> list[tuple[str, list[int]]]:
-    """Track ids with the positions in ``rows`` of their detections. ``rows``: det_id, frame_index, x1..y2, confidence, angle, look0..look2.
+class Tracker:
+    """The open tracks of one shot. Frames come in order, each with its detections; a track is given out once it has ended.
 
-    ``frames`` are all frames of the shot in order, also those without detections. Ids are hashes of the first detection.
+    ``state`` and ``restore`` carry it between batches, so a stream resumes where it stopped. What it holds grows with the open tracks only, and their members.
     """
-    frame_of, ids = rows.frame_index.to_numpy(), rows.det_id.tolist()
-    by_frame: dict[int, list[int]] = {}
-    for i, f in enumerate(frame_of.tolist()):
-        by_frame.setdefault(f, []).append(i)
-    boxes, angles, looks = rows[["x1", "y1", "x2", "y2"]].to_numpy(), rows.angle.to_numpy(float), rows[["look0", "look1", "look2"]].to_numpy(float)
-    filters = Kalman()
-    look, angle, last, missed = np.zeros((0, 3)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    members: list[list[int]] = []
-    closed: list[list[int]] = []
-    for f in frames:
-        now = np.array(by_frame.get(f, []), np.int64)
-        filters.predict(np.maximum(1, f - last))
-        free = np.ones(len(now), bool)
-        missed = missed + 1
-        if len(members) and len(now):
-            cost = _costs(filters.boxes, boxes[now], (angle, angles[now]), (look, looks[now]), width, height)
+
+    PARTS = ("frame", "look", "angle", "last", "missed", "members", "seen")
+
+    def __init__(self, width: int = 1920, height: int = 1080):
+        self.size, self.frame, self.filters = (width, height), None, Kalman()
+        self.look, self.angle, self.last, self.missed = np.zeros((0, 3)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.members: list[list] = []
+        self.seen: list[int] = []  # frames of each track
+
+    def state(self) -> tuple:
+        return *(getattr(self, n) for n in self.PARTS), self.filters.x, self.filters.v, self.filters.p
+
+    def restore(self, state: tuple) -> Tracker:
+        for n, v in zip(self.PARTS, state, strict=False):
+            setattr(self, n, v)
+        self.filters.x, self.filters.v, self.filters.p = state[len(self.PARTS) :]
+        return self
+
+    def step(self, frame: int, ids: list, boxes: np.ndarray, angles: np.ndarray, looks: np.ndarray) -> list[list]:
+        """The ids of each track that has ended; frames since the one before count as empty."""
+        out, none = [], np.zeros(0)
+        for f in range(frame if self.frame is None else self.frame + 1, frame):
+            if not self.members:
+                break
+            out += self._next(f, [], np.zeros((0, 4), np.int64), none, np.zeros((0, 3)))
+        self.frame = frame
+        return out + self._next(frame, ids, boxes, angles, looks)
+
+    def finish(self) -> list[list]:
+        """The tracks that are still open, which end here."""
+        return self._drop(np.zeros(len(self.members), bool))
+
+    def _next(self, f: int, ids: list, boxes: np.ndarray, angles: np.ndarray, looks: np.ndarray) -> list[list]:
+        self.filters.predict(np.maximum(1, f - self.last))
+        free = np.ones(len(ids), bool)
+        self.missed = self.missed + 1
+        if len(self.members) and len(ids):
+            cost = _costs(self.filters.boxes, boxes, (self.angle, angles), (self.look, looks), *self.size)
             pairs = [(a, b) for a, b in assign_sparse(cost) if cost[a, b] < REJECT]
             if pairs:
                 a, b = (np.array(x) for x in zip(*pairs, strict=True))
-                i = now[b]
-                filters.update(a, boxes[i])
-                look[a] = 0.75 * look[a] + 0.25 * looks[i]
-                missed[a], last[a], angle[a], free[b] = 0, f, angles[i], False
-                for t, d in zip(a.tolist(), i.tolist(), strict=True):
-                    members[t].append(d)
-        new = now[free]
+                self.filters.update(a, boxes[b])
+                self.look[a] = 0.75 * self.look[a] + 0.25 * looks[b]
+                self.missed[a], self.last[a], self.angle[a], free[b] = 0, f, angles[b], False
+                for t, d in zip(a.tolist(), b.tolist(), strict=True):
+                    self.members[t].append(ids[d])
+                    self.seen[t] += 1
+        new = np.flatnonzero(free)
         if len(new):
-            filters.open(boxes[new])
-            look, angle = np.concatenate((look, looks[new])), np.concatenate((angle, angles[new]))
-            last, missed = np.concatenate((last, np.full(len(new), f))), np.concatenate((missed, np.zeros(len(new), np.int64)))
-            members += [[d] for d in new.tolist()]
-        alive = missed <= MAX_GAP
-        if not alive.all():
-            closed += [m for m, ok in zip(members, alive.tolist(), strict=True) if not ok]
-            members = [m for m, ok in zip(members, alive.tolist(), strict=True) if ok]
-            filters.keep(alive)
-            look, angle, last, missed = look[alive], angle[alive], last[alive], missed[alive]
-    found = [m for m in closed + members if len(set(frame_of[m].tolist())) >= MIN_FRAMES]
-    return [("trk_" + hashlib.sha256(str(ids[m[0]]).encode()).hexdigest()[:12], m) for m in found]
+            self.filters.open(boxes[new])
+            self.look, self.angle = np.concatenate((self.look, looks[new])), np.concatenate((self.angle, angles[new]))
+            self.last, self.missed = np.concatenate((self.last, np.full(len(new), f))), np.concatenate((self.missed, np.zeros(len(new), np.int64)))
+            self.members += [[ids[d]] for d in new.tolist()]
+            self.seen += [1] * len(new)
+        return self._drop(self.missed <= MAX_GAP)
+
+    def _drop(self, alive: np.ndarray) -> list[list]:
+        if alive.all():
+            return []
+        gone = [m for m, n, ok in zip(self.members, self.seen, alive.tolist(), strict=True) if not ok and n >= MIN_FRAMES]
+        kept = [(m, n) for m, n, ok in zip(self.members, self.seen, alive.tolist(), strict=True) if ok]
+        self.members, self.seen = [m for m, _ in kept], [n for _, n in kept]
+        self.filters.keep(alive)
+        self.look, self.angle, self.last, self.missed = self.look[alive], self.angle[alive], self.last[alive], self.missed[alive]
+        return gone
+
+
+def track_name(first) -> str:
+    """A track's id, a hash of its first detection's."""
+    return "trk_" + hashlib.sha256(str(first).encode()).hexdigest()[:12]
+
+
+def track_shot(rows: pd.DataFrame, frames: list[int], width: int = 1920, height: int = 1080) -> list[tuple[str, list[int]]]:
+    """Track ids with the positions in ``rows`` of their detections. ``rows``: det_id, frame_index, x1..y2, confidence, angle, look0..look2.
+
+    ``frames`` are the frames of the shot in order, also those without detections.
+    """
+    ids, wanted = rows.det_id.tolist(), set(frames)
+    by_frame: dict[int, list[int]] = {}
+    for i, f in enumerate(rows.frame_index.tolist()):
+        if f in wanted:
+            by_frame.setdefault(f, []).append(i)
+    boxes, angles, looks = rows[["x1", "y1", "x2", "y2"]].to_numpy(), rows.angle.to_numpy(float), rows[["look0", "look1", "look2"]].to_numpy(float)
+    tracker, found = Tracker(width, height), []
+    for f in sorted(by_frame):
+        now = by_frame[f]
+        found += tracker.step(f, now, boxes[now], angles[now], looks[now])
+    return [(track_name(ids[m[0]]), m) for m in found + tracker.finish()]
 
 
 def track(detections: DataFrame, key: list[str], first_frame: int = 0, frame_count: int | None = None, width: int = 1920, height: int = 1080) -> DataFrame:

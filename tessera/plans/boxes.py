@@ -8,7 +8,7 @@ from tessera.functions import geometry as g
 from tessera.operators import aggregate, masks, match, tracking, window
 from tessera.plans.registry import query
 from tessera.plans.scalars import DET, detections
-from tessera.plans.views import duck
+from tessera.plans.views import detections_of, duck
 
 _IOU = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
 _AREAS = "((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1))"
@@ -31,14 +31,14 @@ def c02_removable_by_frame(spark, sf_dir):
     return detections(spark, sf_dir).where(masks.removable(kind)).groupBy("job_id", "frame_index").agg(F.count("*").alias("n"))
 
 
-@query(duck("v_frames") + "select source_pts, case when source_pts % 3 = 0 then 'i' || frame_index when pts_us % 2 = 0 and source_pts % 5 = 0 then 'p' || pts_us end path from v_frames where job_id = 3")
+@query(duck("v_frames") + "select job_id, source_pts, case when source_pts % 3 = 0 then 'i' || frame_index when pts_us % 2 = 0 and source_pts % 5 = 0 then 'p' || pts_us end path from v_frames")
 def c03_mask_lookup(spark, sf_dir):
     from tessera.plans.frames import frames
 
-    f = frames(spark, sf_dir).where("job_id = 3")
-    by_index = f.where("source_pts % 3 = 0").select("frame_index", F.concat(F.lit("i"), F.col("frame_index").cast("string")).alias("path"))
-    by_pts = f.where("pts_us % 2 = 0 and source_pts % 5 = 0").select("pts_us", F.concat(F.lit("p"), F.col("pts_us").cast("string")).alias("path"))
-    return match.fallback_lookup(f, by_index, by_pts).select("source_pts", "path")
+    f = frames(spark, sf_dir)
+    by_index = f.where("source_pts % 3 = 0").select("job_id", "frame_index", F.concat(F.lit("i"), F.col("frame_index").cast("string")).alias("path"))
+    by_pts = f.where("pts_us % 2 = 0 and source_pts % 5 = 0").select("job_id", "pts_us", F.concat(F.lit("p"), F.col("pts_us").cast("string")).alias("path"))
+    return match.fallback_lookup(f, by_index, by_pts, ["job_id"]).select("job_id", "source_pts", "path")
 
 
 @query(DET + "select det_id, x1 + 1 left_, y1 right_ from v_detections")
@@ -158,11 +158,16 @@ def e11_gap_fill(spark, sf_dir):
     return window.gap_fill(s, ["job_id", "slot"], "frame_index", ["x"]).withColumn("confidence", F.round("confidence", 9)).withColumn("x", F.round("x", 6))
 
 
+def tracked_shots(orders, *more: str):
+    """Detections as the tracker takes them, in shots of 40 frames, of lines of several looks and slants."""
+    look = [F.expr(f"cast(40 + 60 * (x1 div 400) + 5 * ((det_id + {i}) % 3) as double)").alias(f"look{i}") for i in range(3)]
+    angle = F.expr("cast(10 * (y1 div 5 % 3) + det_id % 4 as double)").alias("angle")
+    return detections_of(orders, *more).select("job_id", F.expr("frame_index div 40").cast("bigint").alias("shot_id"), "frame_index", "det_id", "x1", "y1", "x2", "y2", "confidence", angle, *look, *more)
+
+
 @query()
 def e12_tracker(spark, sf_dir):
-    look = [F.lit(0.0).alias(f"look{i}") for i in range(3)]
-    d = detections(spark, sf_dir).where("det_id % 10 < 10").select("job_id", F.expr("frame_index div 40").cast("bigint").alias("shot_id"), "frame_index", "det_id", "x1", "y1", "x2", "y2", "confidence", F.lit(0.0).alias("angle"), *look)
-    return tracking.track(d, ["job_id", "shot_id"]).select("job_id", "shot_id", "det_id", "track_id")
+    return tracking.track(tracked_shots(spark.read.parquet(f"{sf_dir}/orders.parquet")), ["job_id", "shot_id"]).select("job_id", "shot_id", "det_id", "track_id")
 
 
 @query()
@@ -174,8 +179,8 @@ def e14_clusters(spark, sf_dir):
 @query()
 def f05_diverse_references(spark, sf_dir):
     f = detections(spark, sf_dir).groupBy("job_id", "frame_index").agg(F.avg("confidence").alias("s"))
-    a, b = f.select("job_id", F.col("frame_index").alias("target")), f.select("job_id", F.col("frame_index").alias("ref"), "s")
-    near = a.join(b, "job_id").where(F.abs(F.col("target") - F.col("ref")).between(1, 20)).select("job_id", "target", "ref", (F.col("s") * F.exp(-F.abs(F.col("target") - F.col("ref")) / 8.5)).alias("score"))
+    pairs = match.band_self_join(f.withColumn("at", F.col("frame_index")), ["job_id"], "at", "frame_index", 20).select("job_id", F.col("frame_index").alias("target"), F.col("ref_frame_index").alias("ref"))
+    near = pairs.join(f.select("job_id", F.col("frame_index").alias("ref"), "s"), ["job_id", "ref"]).select("job_id", "target", "ref", (F.col("s") * F.exp(-F.abs(F.col("target") - F.col("ref")) / 8.5)).alias("score"))
     return tracking.diverse_references(near, ["job_id"])
 
 
@@ -194,8 +199,8 @@ def d34_mask_roi(spark, sf_dir):
     return u.select("job_id", *[c.cast("bigint").alias(n) for c, n in zip(g.expand(g.box(), 27, 1920, 1080), ("x1", "y1", "x2", "y2"), strict=True)])
 
 
-@query(DET + "select f.job_id, f.frame_index, r.id roi_id, r.x1, r.y1, r.x2, r.y2 from (select distinct job_id, frame_index from v_detections where frame_index < 10) f, (select 1 id, 0 x1, 700 y1, 1920 x2, 1080 y2 union all select 2, 100, 0, 400, 90) r")
+@query(DET + "select f.job_id, f.frame_index, r.id roi_id, r.x1, r.y1, r.x2, r.y2 from (select distinct job_id, frame_index from v_detections) f, (select 1 id, 0 x1, 700 y1, 1920 x2, 1080 y2 union all select 2, 100, 0, 400, 90) r")
 def a26_roi_masks(spark, sf_dir):
-    f = detections(spark, sf_dir).where("frame_index < 10").select("job_id", "frame_index").distinct()
+    f = detections(spark, sf_dir).select("job_id", "frame_index").distinct()
     rois = spark.createDataFrame([(1, -5, 700, 2500, 1200), (2, 100, 0, 400, 90), (3, 2000, 0, 2100, 50)], "roi_id int, x1 int, y1 int, x2 int, y2 int")
     return masks.rectangles(f, rois, 1920, 1080)

@@ -56,21 +56,21 @@ def d19_noisy_or(spark, sf_dir):
     return weighed(spark, sf_dir).groupBy(*PIXEL).agg(F.round(aggregate.noisy_or(F.col("wt") * 0.3 - 0.05), 9).alias("confidence"))
 
 
-@query(PX + ",\n" + _W + """, a as (select shot_id, y, x, count(*) filter (lw > 0.16) valid, max(lw) best, 1 - product(1 - least(greatest(lw, 0), 0.98)) conf from (select *, wt * 0.21 lw from w where frame_index % 25 < 4) group by 1, 2, 3)
+@query(PX + ",\n" + _W + """, a as (select shot_id, y, x, count(*) filter (lw > 0.16) valid, max(lw) best, 1 - product(1 - least(greatest(lw, 0), 0.98)) conf from (select *, wt * 0.21 lw from w) group by 1, 2, 3)
 select shot_id, y, x, cast(valid as bigint) valid, round(best, 9) best, round(conf, 9) confidence, round(least(1, valid / 5.0::double), 9) coverage, (valid >= 3 and conf >= 0.42) or (valid >= 1 and best >= 0.88 and conf >= 0.82) trusted from a""")
 def d20_trust(spark, sf_dir):
-    few = weighed(spark, sf_dir).where("frame_index % 25 < 4").withColumn("lw", F.col("wt") * 0.21)
+    few = weighed(spark, sf_dir).withColumn("lw", F.col("wt") * 0.21)
     out = aggregate.trust(few, PIXEL, "lw")
     r = lambda n: F.round(n, 9).alias(n)
     return out.select(*PIXEL, "valid", r("best"), r("confidence"), r("coverage"), "trusted")
 
 
-@query(PX + ",\n" + _W + """, m as (select shot_id, y, x, frame_index % 25 ref, wt * 0.5 lw from w where y >= 5),
+@query(PX + ",\n" + _W + """, m as (select shot_id, y, x, frame_index % 25 ref, wt * 0.5 lw from w),
 r as (select *, count(*) filter (lw > 0.16) over p v, 1 - exp(sum(ln(1 - least(greatest(lw, 0), 0.98))) over p) cf from m window p as (partition by shot_id, y, x order by ref)),
 a as (select shot_id, ref, round(avg(case when v >= 3 then 1.0 else 0 end), 9) sh, round(avg(cf), 9) mc from r group by 1, 2)
 select shot_id, cast(coalesce(min(ref) filter (sh >= 0.965 and mc >= 0.84), max(ref)) as bigint) used from a group by 1""")
 def d29_early_stop(spark, sf_dir):
-    m = weighed(spark, sf_dir).where("y >= 5").withColumn("ref", F.col("frame_index") % 25).withColumn("lw", F.col("wt") * 0.5)
+    m = weighed(spark, sf_dir).withColumn("ref", F.col("frame_index") % 25).withColumn("lw", F.col("wt") * 0.5)
     return aggregate.early_stop(m, ["shot_id"], ["y", "x"], "lw", "ref")
 
 

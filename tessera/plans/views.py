@@ -60,6 +60,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text.replace(f"from {table}", "from {source}"), source=source)
 
 
+def detections_of(orders: DataFrame, *more: str) -> DataFrame:
+    """The detections of a batch or stream of orders, with ``more`` of its columns."""
+    head = "".join(f"{c}, " for c in more)
+    return orders.sparkSession.sql(VIEWS["v_detections"][0].replace("select ", f"select {head}", 1).replace("from orders", "from {source}"), source=orders)
+
+
 def duck(*names: str) -> str:
     """``with`` and the named views, for an oracle."""
     return "with " + ",\n".join(f"{n} as ({VIEWS[n][0].format(**_DUCK)})" for n in names)
