@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregate, decide, engines, kernels, masks, match, tracking, window
+from tessera.operators import aggregate, decide, engines, kernels, masks, match, motion, tracking, window
 from tessera.plans.registry import query
 
 SEGMENT = ["job_id", "shot_id", "chunk"]
@@ -154,7 +154,7 @@ def repaired(plates: DataFrame, routed: DataFrame, o: Options) -> DataFrame:
                 made = engines.REGISTRY[r.engine].repair(made, rest)
             out.append(kernels.composite_exact(image, made, m, o.feather, seed=int(r.frame_index)))
         before, after = kernels.residual_text(images, out, on)
-        ratio, p95 = kernels.flicker(out, on)
+        ratio, p95 = motion.flicker(out, on)
         color, gradient = kernels.seam(out, on)
         return pdf.assign(output=[x.tobytes() for x in out], residual_before=before, residual_after=after, flicker_ratio=ratio, flicker_p95=p95, color_delta=color, gradient_ratio=gradient, outside_error=kernels.outside_error(images, out, on), sharpness=kernels.sharpness(out, on))
 
