@@ -13,6 +13,9 @@ document's word is hit if it lies inside any occurrence of a window.
 
 The set of prefix tokens is held in the scan as a literal set while it has at most ``literal_limit`` tokens.
 Beyond that each document's own tokens are found by a shuffled join on its distinct words instead.
+
+No token meets in one task: candidates of a token that has over one in ``HOT`` of all occurrences (so at most ``HOT`` tokens)
+are dealt out over ``SALTS`` copies of its windows, and the join on words deals every word out over ``SALTS`` documents' hashes.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm._shared import NOT_ALNUM, Tables, ascii_lower
 
 LITERAL_LIMIT = 50_000
+HOT, SALTS = 512, 32
 
 
 def words_of(text: Column) -> Column:
@@ -47,7 +51,9 @@ def _token_rows(docs: DataFrame, tokens: DataFrame, limit: int) -> tuple[DataFra
     held = [r[0] for r in tokens.limit(limit + 1).collect()]
     if len(held) <= limit:
         return docs, lambda w: w.isin(held) if held else F.lit(False)
-    own = docs.select("id", "th", F.explode(F.array_distinct("words")).alias("token")).join(tokens, "token").groupBy("id", "th").agg(F.collect_set("token").alias("own"))
+    salted = docs.select("id", "th", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).alias("salt"), F.explode(F.array_distinct("words")).alias("token"))
+    copies = tokens.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    own = salted.join(copies, ["token", "salt"]).groupBy("id", "th").agg(F.collect_set("token").alias("own"))
     own = own.select(F.col("id").alias("oid"), F.col("th").alias("oth"), "own")
     joined = docs.join(own, docs["id"].eqNullSafe(own["oid"]) & docs["th"].eqNullSafe(own["oth"]), "left")
     return joined.drop("oid", "oth"), lambda w: F.coalesce(F.array_contains(F.col("own"), w), F.lit(False))
@@ -69,7 +75,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     has, known = _token_rows(split, vocabulary, literal_limit)
     rarity = has.select(F.explode(F.filter("words", known)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     placed = windows.select("item", "words", F.posexplode("words").alias("j", "token")).join(rarity, "token")
-    index = tables.write(placed.groupBy("item", "words").agg(F.min(F.struct("n", "token", "j")).alias("least"), F.count("*").alias("found")).where(F.col("found") == F.size("words")).select("item", "words", F.col("least.token").alias("token"), F.col("least.j").alias("j")))
+    index = tables.write(placed.groupBy("item", "words").agg(F.min(F.struct("n", "token", "j")).alias("least"), F.count("*").alias("found")).where(F.col("found") == F.size("words")).select("item", "words", F.col("least.token").alias("token"), F.col("least.j").alias("j"), F.col("least.n").alias("n")))
+    often = index.select("token", "n").distinct()
+    total = often.agg(F.sum("n")).first()[0] or 0
+    hot = [r.token for r in often.where(F.col("n") * HOT > total).collect()]  # fewer than HOT
+    is_hot = F.col("token").isin(hot) if hot else F.lit(False)
+    index = index.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0))))
 
     has, wanted = _token_rows(split, tables.write(index.select("token").distinct()), literal_limit)
     at = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: wanted(F.element_at("words", i)))
@@ -78,10 +89,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     scanned = tables.write(scanned.select("id", "th", F.size("words").cast("long").alias("n_words"), around.alias("around")))
 
     near = scanned.select("id", "th", "n_words", F.explode("around").alias("c")).select("id", "th", "n_words", "c.*", F.element_at("c.near", F.col("c.pos") - F.col("c.first") + 1).alias("token"))
+    near = near.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("id", "th", "pos"), F.lit(SALTS))).otherwise(0).cast("int"))
     # pos and first count from 1, j from 0
     starts = F.col("pos") - F.col("j")
     fits = (starts >= F.col("first")) & (starts - 1 + F.size("words") <= F.col("n_words"))
-    hits = near.join(index, "token").where(fits & (F.slice("near", F.greatest(starts - F.col("first") + 1, F.lit(1)), F.size("words")) == F.col("words")))
+    hits = near.join(index, ["token", "salt"]).where(fits & (F.slice("near", F.greatest(starts - F.col("first") + 1, F.lit(1)), F.size("words")) == F.col("words")))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
