@@ -2,71 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import Tables as Tables
+from tessera.sources.shared import shared_dir as shared_dir
+
 #: What stands between words in the two tokenisations that the operators use.
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Where none is set a local session gets a temporary one; a cluster must name it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
-    return _own_dir[0]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Tables:
-    """Tables written to the shared folder, which cut lineage and survive the loss of executors.
-
-    ``drop`` removes one that is no longer read; the rest go when Python ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/tessera-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._tessera_path = path
-        _left.append((self.spark, path))
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_tessera_path", None)
-        if (self.spark, path) in _left:
-            _delete(self.spark, path)
-            _left.remove((self.spark, path))
-
-
-_left: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _left:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended: nothing is left to ask
-            return
 
 
 def ascii_lower(text: Column) -> Column:
