@@ -55,7 +55,15 @@ def c08_new_regions(spark, sf_dir):
     return match.set_anti_overlap(d.where("det_id % 3 = 1"), known, ["job_id", "frame_index"], 0.08).select("det_id")
 
 
-@query()
+@query(DET.replace("with ", "with recursive ", 1) + f""", k as (select * from v_detections where det_id % 9 = 0), nk as (select job_id, frame_index, count(*) k from k group by 1, 2),
+n as (select *, row_number() over (partition by job_id, frame_index order by det_id) rn from v_detections where det_id % 9 <> 0),
+bad as (select distinct a.det_id from n a join k b on a.job_id = b.job_id and a.frame_index = b.frame_index and {_IOU} > 0 and ({_IOU})::double / ({_AREAS} - {_IOU}) > 0.08),
+clash as (select a.det_id, list(b.rn) rns from n a join n b on a.job_id = b.job_id and a.frame_index = b.frame_index and b.rn < a.rn and {_IOU} > 0 and ({_IOU})::double / ({_AREAS} - {_IOU}) > 0.08 group by 1),
+m as (select n.job_id, n.frame_index, n.rn, n.det_id, coalesce(nk.k, 0) k, n.det_id in (select det_id from bad) b, coalesce(c.rns, []) c from n left join nk using (job_id, frame_index) left join clash c using (det_id)),
+w as (select job_id, frame_index, rn, case when b or k >= 4 then []::bigint[] else [rn] end kept from m where rn = 1
+  union all select m.job_id, m.frame_index, m.rn, case when m.b or m.k + len(w.kept) >= 4 or list_has_any(w.kept, m.c) then w.kept else list_append(w.kept, m.rn) end from w join m on m.job_id = w.job_id and m.frame_index = w.frame_index and m.rn = w.rn + 1),
+z as (select job_id, frame_index, max_by(kept, rn) kept from w group by 1, 2)
+select job_id, frame_index, det_id, true known from k union all select m.job_id, m.frame_index, m.det_id, false from m join z using (job_id, frame_index) where list_contains(z.kept, m.rn)""")
 def c08_accepted_regions(spark, sf_dir):
     d = detections(spark, sf_dir).withColumn("known", F.col("det_id") % 9 == 0)
     return tracking.accept_new_regions(d, ["job_id", "frame_index"], ["det_id"]).select("job_id", "frame_index", "det_id", "known")

@@ -50,15 +50,15 @@ def a06_nearest_pts(spark, sf_dir):
     return match.asof_nearest(targets, f, ["job_id"], "at_us", "pts_us", "frame_index", 500 * MIN)
 
 
+@query(FR.replace("with ", "with recursive ", 1) + f""", r as (select job_id, row_number() over (partition by job_id order by pts_us) rn, pts_us t, lag(pts_us) over (partition by job_id order by pts_us) b from v_frames),
+w as (select job_id, rn, t, b, 0::bigint n, t >= 0 taken from r where rn = 1
+  union all select r.job_id, r.rn, r.t, r.b, w.n + w.taken::bigint, w.n + w.taken::bigint < 12 and r.t >= (w.n + w.taken::bigint) * {3001 * MIN} from w join r on r.job_id = w.job_id and r.rn = w.rn + 1)
+select job_id, n sample, case when b is not null and n * {3001 * MIN} - b < t - n * {3001 * MIN} then b else t end frame_pts, n * {3001 * MIN} target_pts from w where taken""")
 def a06_sequential_sample(spark, sf_dir):
     f = frames(spark, sf_dir)
     targets = f.select("job_id").distinct().select("job_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(11).cast("bigint"))).alias("n")).select("job_id", (F.col("n") * (3001 * MIN)).alias("pts_us"))
     return tracking.sequential_nearest(f, targets, ["job_id"])
 
-
-query()(a06_sequential_sample)
-
-
 @query(FR + """, over_ as (select job_id, frame_index % 7 part, frame_index, pts_us from v_frames), o as (select *, max(pts_us) over (partition by job_id order by part, pts_us, frame_index rows between unbounded preceding and 1 preceding) m from over_)
 select job_id, part, frame_index, pts_us from o where m is null or pts_us > m""")
 def a15_monotone_assemble(spark, sf_dir):
@@ -156,14 +156,17 @@ def e06_adaptive_cuts(spark, sf_dir):
     return window.adaptive_cuts(frames(spark, sf_dir), ["job_id"], "value").select("job_id", "frame_index", F.round("ratio", 6).alias("ratio"))
 
 
+@query(FR.replace("with ", "with recursive ", 1) + """, r as (select job_id, row_number() over (partition by job_id order by frame_index) rn, frame_index, event_type in ('view', 'click') a from v_frames),
+w as (select job_id, rn, frame_index, 0::bigint seg, 1::bigint n, a from r where rn = 1
+  union all select r.job_id, r.rn, r.frame_index, w.seg + c.new::bigint, case when c.new then 1 else w.n + 1 end, case when c.new then r.a else w.a end
+  from w join r on r.job_id = w.job_id and r.rn = w.rn + 1, lateral (select w.n >= 12 or (w.a <> r.a and w.n >= 3) new) c),
+s as (select job_id, seg, min(frame_index) lo, max(frame_index) hi, count(*) n, any_value(a) a from w group by 1, 2),
+z as (select *, case when seg = max(seg) over (partition by job_id) and n < 3 and seg > 0 then seg - 1 else seg end into_ from s)
+select job_id, into_ segment, min(lo) first_frame, max(hi) last_frame, cast(sum(n) as bigint) frames, min_by(a, seg) active from z group by job_id, into_""")
 def e04_islands(spark, sf_dir):
     flagged = frames(spark, sf_dir).withColumn("active", F.col("event_type").isin("view", "click"))
     return window.islands(flagged, ["job_id"], "active", 3, 12)
 
-
-query()(e04_islands)
-
-
 @query(FR + """select job_id, round(sum(0.2 * power(0.8::double, n - rn) * x) + power(0.8::double, max(n)), 9) "scale", cast(count(*) as bigint) observations
 from (select job_id, greatest(0.65, least(1.8, "value" / 50)) x, row_number() over (partition by job_id order by frame_index) rn, count(*) over (partition by job_id) n from v_frames) group by job_id""")
 def e18_ema(spark, sf_dir):

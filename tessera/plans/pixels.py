@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
@@ -200,13 +202,60 @@ def _planes(spark, sf_dir):
     return rows.select("frame_index", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), hexed(lambda s: s["value"]).alias("pixels"), hexed(lambda s: s["masked"] * 255).alias("mask"))
 
 
-@query()
-def d21_components_d22_small(spark, sf_dir):
-    from pyspark.sql.types import BinaryType
+_PARTS = PX.replace("with ", "with recursive ", 1) + """, c as (select frame_index f, y, x, y * 8 + x i from v_pixels where masked = 1),
+n as (select a.f, a.i, b.i j from c a join c b on a.f = b.f and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1),
+r as (select f, i root, i from c union select r.f, r.root, n.j from r join n on n.f = r.f and n.i = r.i),
+p as (select f, i, min(root) part from r group by 1, 2), q as (select f, part, count(*) n from p group by 1, 2), fr as (select distinct frame_index f from v_pixels)
+"""
+
+
+@query(_PARTS + "select fr.f frame_index, cast(coalesce(max(q.n), 0) as bigint) largest, count(q.n) parts from fr left join q on q.f = fr.f group by 1")
+def d21_largest_component(spark, sf_dir):
+    def measure(batches):
+        for batch in batches:
+            masks = [np.frombuffer(m, np.uint8).reshape(h, w) for h, w, m in zip(batch.height, batch.width, batch["mask"], strict=True)]
+            yield pd.DataFrame({"frame_index": batch.frame_index, "largest": [kernels.largest_component(m) for m in masks], "parts": [len(kernels.components(m)[1]) for m in masks]})
+
+    return _planes(spark, sf_dir).mapInPandas(measure, "frame_index long, largest long, parts long")
+
+
+@query(_PARTS + "select p.f frame_index, cast(p.i // 8 as bigint) y, cast(p.i % 8 as bigint) x from p join q using (f, part) where q.n >= 4")
+def d22_small_components(spark, sf_dir):
+    kept = kernels.per_frame(_planes(spark, sf_dir), lambda image, mask: kernels.drop_small(mask, 4))
+    at = kept.select("frame_index", F.hex("result").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).where(F.substring("h", 2 * F.col("i") + 1, F.lit(2)) != "00")
+    return at.select("frame_index", F.expr("cast(i div 8 as bigint)").alias("y"), F.expr("cast(i % 8 as bigint)").alias("x"))
+
+
+@query(PX + """, l as (select frame_index, "value" / 255.0::double v from v_pixels where y between 2 and 6 and x between 1 and 6), f as (select frame_index, case when v <= 0.04045 then v / 12.92 else pow((v + 0.055) / 1.055, 2.4::double) end v from l)
+select frame_index, round(avg((116 * case when v > 0.008856 then cbrt(v) else 7.787 * v + 16 / 116.0::double end - 16) * 2.55), 4) l, 128.0::double a, 128.0::double b from f group by 1""")
+def d32_patch_look(spark, sf_dir):
+    """The mean Lab of a patch by the operator itself; a gray patch has no colour."""
+
+    def look(batches):
+        for batch in batches:
+            rows = [kernels.appearance(np.frombuffer(p, np.uint8).reshape(h, w), (1, 2, 7, 7)) for h, w, p in zip(batch.height, batch.width, batch.pixels, strict=True)]
+            out = pd.DataFrame(np.round(np.array(rows).reshape(-1, 3), 4), columns=["l", "a", "b"])
+            out.insert(0, "frame_index", batch.frame_index.to_numpy())
+            yield out
+
+    return _planes(spark, sf_dir).mapInPandas(look, "frame_index long, l double, a double, b double")
+
+
+@query(PX + " select frame_index, count(*) filter (masked = 0) outside, 0::bigint changed_outside, true same_again from v_pixels group by 1")
+def i13_composite_exact(spark, sf_dir):
+    """The composite of a darker fill: no pixel outside the mask changes, and a seed gives the same again."""
+
+    def compose(batches):
+        for batch in batches:
+            rows = []
+            for f, h, w, p, m in zip(batch.frame_index, batch.height, batch.width, batch.pixels, batch["mask"], strict=True):
+                image, mask = np.frombuffer(p, np.uint8).reshape(h, w), np.frombuffer(m, np.uint8).reshape(h, w)
+                color = np.repeat(image[..., None], 3, 2)
+                out, again = (kernels.composite_exact(color, color // 2, mask, 2, seed=int(f)) for _ in range(2))
+                rows.append((f, int((mask == 0).sum()), int((out != color).any(axis=2)[mask == 0].sum()), bool((out == again).all())))
+            yield pd.DataFrame(rows, columns=["frame_index", "outside", "changed_outside", "same_again"])
 
-    planes = kernels.per_frame(_planes(spark, sf_dir), lambda image, mask: kernels.drop_small(mask, 4))
-    assert planes.schema["result"].dataType == BinaryType()
-    return planes.select("frame_index", F.sha2("result", 256).alias("kept"))
+    return _planes(spark, sf_dir).mapInPandas(compose, "frame_index long, outside long, changed_outside long, same_again boolean")
 
 
 @query()

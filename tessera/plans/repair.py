@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregate, decide, engines, kernels, masks, match, motion, tracking, window
-from tessera.plans.registry import query
 
 SEGMENT = ["job_id", "shot_id", "chunk"]
 
@@ -194,7 +193,11 @@ def run(frames: DataFrame, o: Options, table=lambda df: df.persist()) -> dict[st
     return {"detections": detections, "boxes": boxes, "attempts": attempts, "best": best, "frames": window.assemble(final, ["job_id"], ["shot_id", "chunk", "pts_us"])}
 
 
-def synthetic(spark: SparkSession, jobs: int = 1, frames: int = 12, width: int = 160, height: int = 90) -> DataFrame:
+def synthetic(spark: SparkSession, jobs: int = 1, **shape) -> DataFrame:
+    return synthetic_of(spark.range(jobs), **shape)
+
+
+def synthetic_of(jobs: DataFrame, frames: int = 12, width: int = 160, height: int = 90) -> DataFrame:
     """Clips with burned-in text, made on the executors: job_id, shot_id, frame_index, pts_us, height, width, channels, pixels, clean, truth."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,12 +206,4 @@ def synthetic(spark: SparkSession, jobs: int = 1, frames: int = 12, width: int =
                 rows = [(f"clip{job}", 0, i, i * 83_333, height, width, 3, burned.tobytes(), clean.tobytes(), mask.tobytes()) for i, clean, burned, mask in kernels.generate_clip(frames, width, height)]
                 yield pd.DataFrame(rows, columns="job_id shot_id frame_index pts_us height width channels pixels clean truth".split())
 
-    return spark.range(jobs).mapInPandas(make, "job_id string, shot_id long, frame_index long, pts_us long, height int, width int, channels int, pixels binary, clean binary, truth binary")
-
-
-@query()
-def i11_repair_pipeline(spark, sf_dir):
-    """A generated clip, as the tables hold no media."""
-    clip = synthetic(spark, frames=6).drop("clean", "truth")
-    done = run(clip, Options(160, 90, chunk_frames=6, max_attempts=1))["frames"]
-    return done.select("job_id", "frame_index", "pts_us", "route", "engine", "attempt", F.sha2("output", 256).alias("output_hash"))
+    return jobs.mapInPandas(make, "job_id string, shot_id long, frame_index long, pts_us long, height int, width int, channels int, pixels binary, clean binary, truth binary")
