@@ -37,7 +37,7 @@ SAMPLES = [
 
 
 def test_rules():
-    assert len(lic.rules()) > 300 and [r.priority for r in lic.rules()] == sorted((r.priority for r in lic.rules()), reverse=True)
+    assert len(lic.rules()) > 500 and len({r.name for r in lic.rules()}) == len(lic.rules()) and [r.priority for r in lic.rules()] == sorted((r.priority for r in lic.rules()), reverse=True)
 
 
 @pytest.mark.parametrize("text", SAMPLES)
@@ -102,3 +102,18 @@ def test_no_gate_loses_a_rule():
     lost = [t for t in broken + [r.choice(("", "(", "\"", "\t")) + t for t in made] if {(x.name, a, b) for x, a, b, k in scanner.detect(t.encode()) if k} != brute_found(t)]
     assert not lost, lost
     assert all(brute_found(t) for t in broken)
+
+
+def test_texts_of_licenses():
+    label = lambda t: {r.label for r, _, _, k in lic.Scanner(lic.rules()).detect(t.encode().translate(lic._ASCII)) if k}
+    assert label("Redistributions of source code must\n * retain the above copyright notice") == set()  # a comment's star is no white space
+    assert label("Redistributions of source code must\n retain the above copyright notice") == {"bsd"}
+    assert label("The origin of this software must not be misrepresented") == {"zlib"}
+    assert label("You may not use this file except in compliance with\n  the License.") == {"apache"}
+    assert label("The Software shall be used for Good,\tnot Evil.") == {"json"}
+    assert label("as published by MongoDB, Inc.") == {"sspl"} and label("a word of the open sea, the common good and later work") == set()
+
+
+def test_clashing_column_is_replaced(edge):
+    out = lic.scan(edge, to="size")
+    assert sorted(out.columns) == sorted(edge.columns) and out.schema["size"].dataType.typeName() == "struct"
