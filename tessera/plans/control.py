@@ -131,13 +131,18 @@ def h20_model_verify(spark, sf_dir):
     return verify_models(rows.drop("k"), files).select("model", "ok", F.size("problems").cast("bigint").alias("problems"))
 
 
-@query(EV + """, s as (select job_id, string_agg(event_id::varchar || ':' || to_state, ',' order by event_id) states from v_job_events where to_state <> 'analyzed' group by 1), r as (select job_id, string_agg(event_id::varchar, ',' order by event_id) retries from v_job_events where to_state = 'retry_pending' group by 1)
-select j.job_id, coalesce(states, '') states, coalesce(retries, '') retries from (select distinct job_id from v_job_events) j left join s using (job_id) left join r using (job_id)""")
+#: (child collection, table, id, second field) of a job, its key modulo 10
+_CHILDREN = (("shots", "supplier", "s_suppkey", "s_nationkey"), ("tracks", "part", "p_partkey", "p_size"), ("segments", "orders", "o_orderkey", "o_custkey"), ("reports", "lineitem", "l_orderkey", "l_linenumber"), ("runs", "customer", "c_custkey", "c_nationkey"), ("artifacts", "events", "event_id", "user_id"))
+
+
+@query("with j as (select unnest(range(12)) job_id)" + "".join(f", {n} as (select {k} % 10 job_id, md5(string_agg({k} || ':' || {v}, ',' order by {k}, {v})) {n} from {t} group by 1)" for n, t, k, v in _CHILDREN)
+       + " select job_id, " + ", ".join(f"coalesce({n}, md5('')) {n}" for n, *_ in _CHILDREN) + " from j " + " ".join(f"left join {n} using (job_id)" for n, *_ in _CHILDREN))
 def c17_job_audit(spark, sf_dir):
-    e = events(spark, sf_dir)
-    wide = match.fan_out(e.select("job_id").distinct(), "job_id", {"changes": (e.where("to_state <> 'analyzed'"), ["event_id", "to_state"]), "tries": (e.where("to_state = 'retry_pending'"), ["event_id"])})
-    show = F.array_join(F.transform("changes", lambda x: F.concat(x["event_id"].cast("string"), F.lit(":"), x["to_state"])), ",")
-    return wide.select("job_id", show.alias("states"), F.array_join(F.transform("tries", lambda x: x["event_id"].cast("string")), ",").alias("retries"))
+    """Jobs with their six child collections, each in order; two of the jobs have none."""
+    children = {n: (spark.read.parquet(f"{sf_dir}/{t}.parquet").select((C(k) % 10).alias("job_id"), C(k).alias("id"), C(v).alias("of")), ["id", "of"]) for n, t, k, v in _CHILDREN}
+    wide = match.fan_out(spark.range(12).select(C("id").alias("job_id")), "job_id", children)
+    show = lambda n: F.md5(F.array_join(F.transform(n, lambda x: F.concat_ws(":", x["id"].cast("string"), x["of"].cast("string"))), ",").cast("binary"))
+    return wide.select("job_id", *[show(n).alias(n) for n, *_ in _CHILDREN])
 
 
 @query("""select event_id, cast(round_even("value" * 1000000, 0) as bigint) duration_us, 1280 + cast(event_id % 5 as int) width, round(case when event_id % 4 = 0 then 25 else 30000 / 1001.0::double end, 9) fps,
