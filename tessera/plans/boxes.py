@@ -180,7 +180,8 @@ def e12_tracker(spark, sf_dir):
 
 @query()
 def e14_clusters(spark, sf_dir):
-    out = tracking.region_clusters(detections(spark, sf_dir), ["job_id"], ["frame_index", "det_id"])
+    shots = detections(spark, sf_dir).withColumn("shot_id", F.expr("frame_index div 40"))
+    out = tracking.region_clusters(shots, ["job_id", "shot_id"], ["frame_index", "det_id"])
     return out.select("det_id", "cluster")
 
 

@@ -15,7 +15,7 @@ select user_id as job_id,
   event_id as source_pts, event_type, value
 from events"""
 _DETECTIONS = """
-select o_orderkey as det_id, o_orderkey % 10 as job_id,
+select o_orderkey as det_id, cast(floor(o_orderkey / 1200) as bigint) as job_id,
   cast(floor(o_orderkey / 10) as bigint) % 120 as frame_index,
   (o_custkey % 4) * 400 + (o_custkey % 7) * 6 as x1,
   800 + (o_custkey % 5) * 5 as y1,
