@@ -362,7 +362,8 @@ KIND = "struct<n_words:bigint,base:array<struct<word:bigint,label:string>>,found
 def scan(docs: DataFrame, chosen: tuple[Rule, ...] | None = None, text: str = "text", to: str = "license") -> DataFrame:
     """``docs`` with the struct ``to``: n_words, base (places of base phrases), found (every detection, with whether it was kept).
 
-    Null counts as the empty text. Only the text is read.
+    Null counts as the empty text. Only the text is read, whole whatever its length. Detections of one priority and length compete by place, then
+    by name. Repeated rows give the same. A column named ``to`` is replaced, all others pass through. An empty table stays empty.
     """
     chosen = rules() if chosen is None else chosen
 

@@ -54,7 +54,7 @@ def fingerprint_of(data: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, text: str = "text") -> DataFrame:
-    """``docs`` with the column fp, a signed long."""
+    """``docs`` with the column fp, a signed long; a column of that name is replaced, all others pass through. Null counts as the empty text (0)."""
 
     @F.arrow_udf("long")
     def fp(texts: pa.Array) -> pa.Array:
