@@ -40,19 +40,26 @@ def delete(spark: SparkSession, path: str) -> None:
 class Tables:
     """Written tables, which cut lineage and survive the loss of executors.
 
-    ``drop`` removes one that is no longer read; the rest go when Python ends.
+    ``drop`` removes one that is no longer read, ``clear`` all but some; the rest go when Python ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self._made = spark, []
 
     def write(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
+        self._made.append(out)
         return out
 
+    def clear(self, *kept: DataFrame | None) -> None:
+        """Drops what was written here, but for ``kept``."""
+        for df in self._made:
+            if not any(df is k for k in kept):
+                self.drop(df)
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_tessera_path", None)
         if (self.spark, path) in _left:
