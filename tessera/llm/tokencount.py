@@ -5,10 +5,11 @@ offsets. The chunk before is right up to any of its pre-token boundaries that li
 characters before its end: what the pre-tokenizer matches there depends on nothing later (its look-ahead is
 one character, and the longest special string fits into the margin). The pre-tokenizer and the search for special strings
 go from left to right and keep no state, so where the next chunk has a boundary at the same place,
-its tokens from there on are the text's own. The last such common boundary is the splice. Where an overlap
-holds none (a run of letters without a break, say) it is widened, and the chunk with it when it must be.
+its tokens from there on are the text's own. The last such common boundary is the splice.
 
-Every token is the library's; shorter texts go to it in batches.
+Chunks lie on a grid first, and only the boundaries of their overlaps are looked at. Where an overlap holds no splice (a run
+of letters without a break, say) the text is spliced step by step instead: there the overlap is widened until it holds one, and
+the chunk with it when it must be. Every token is the library's; shorter texts go to it in batches.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import utf8
 
-CHUNK, OVERLAP, MARGIN = 1 << 13, 1 << 8, 64
-#: Texts that the library gets at a time.
-BATCH = 64
+CHUNK, OVERLAP, MARGIN = 1 << 15, 1 << 8, 64
+#: Texts, or chunks of one text, that the library gets at a time.
+BATCH, CHUNKS = 64, 16
 Token = tuple[int, int, bool]
 
 
@@ -88,15 +89,51 @@ def library_encode(path: str) -> Callable[[str], list[tuple[int, bool]]]:
     return encode
 
 
+def _opens(encoding, token: int) -> bool:
+    """Whether a pre-token or a special string starts with the token, which is not the first."""
+    word = encoding.token_to_word(token)
+    return word is None or word != encoding.token_to_word(token - 1)
+
+
+def _splice(a, a_start: int, b, b_start: int, end: int) -> tuple[int, int] | None:
+    """The tokens of both encodings at their last common boundary up to ``end``; None without one."""
+    for p in range(end, b_start, -1):
+        i, j = a.char_to_token(p - a_start), b.char_to_token(p - b_start)
+        if i and j and a.token_to_chars(i)[0] == p - a_start and b.token_to_chars(j)[0] == p - b_start and _opens(a, i) and _opens(b, j):
+            return i, j
+    return None
+
+
+def grid_count(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, margin: int = MARGIN) -> int | None:
+    """The number of tokens from chunks on a grid; None if one of the overlaps holds no splice."""
+    starts = range(0, max(1, len(text) - overlap), chunk - overlap)
+    total, first, before, at = 0, 0, None, 0
+    for i in range(0, len(starts), CHUNKS):
+        own = starts[i : i + CHUNKS]
+        for start, now in zip(own, _library(path).encode_batch([text[s : s + chunk] for s in own], add_special_tokens=False), strict=True):
+            if before is not None:
+                cut = _splice(before, at, now, start, at + chunk - margin)
+                if cut is None or cut[0] < first:
+                    return None
+                total, first = total + cut[0] - first, cut[1]
+            before, at = now, start
+    return total + len(before) - first
+
+
+def count_long(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """The number of tokens of a text of more than ``chunk`` characters."""
+    n = grid_count(text, path, chunk, overlap) if overlap > MARGIN and chunk > 2 * overlap else None
+    return spliced_count(text, library_encode(path), chunk, overlap) if n is None else n
+
+
 def count_all(texts: list[str], path: str, chunk: int = CHUNK) -> list[int]:
-    """Each text's number of tokens."""
-    out, encode = [len(x) and -1 for x in texts], library_encode(path)
-    short = [i for i, x in enumerate(texts) if 0 < len(x) <= chunk]
+    """Each text's number of tokens; equal texts are encoded once."""
+    known = {x: 0 if not x else count_long(x, path, chunk) if len(x) > chunk else -1 for x in dict.fromkeys(texts)}
+    short = [x for x, n in known.items() if n < 0]
     for begin in range(0, len(short), BATCH):
-        at = short[begin : begin + BATCH]
-        for i, e in zip(at, _library(path).encode_batch_fast([texts[i] for i in at], add_special_tokens=False), strict=True):
-            out[i] = len(e)
-    return [spliced_count(x, encode, chunk) if n < 0 else n for x, n in zip(texts, out, strict=True)]
+        some = short[begin : begin + BATCH]
+        known.update(zip(some, map(len, _library(path).encode_batch_fast(some, add_special_tokens=False)), strict=True))
+    return [known[x] for x in texts]
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, chunk: int = CHUNK, text: str = "text", to: str = "n_tokens") -> DataFrame:

@@ -42,10 +42,25 @@ def test_tables(edge, empty, docs, library, chunk):
 
 
 def test_the_splice_carries_texts_of_the_table(docs, library):
-    long = [r.text for r in docs.collect() if r.text and len(r.text) > t.CHUNK]
-    assert long and [t.spliced_count(x, t.library_encode(PATH)) for x in long] == [count(library, x) for x in long]
+    long = [r.text for r in docs.collect() if r.text and len(r.text) > 8192]
+    long.append(" ".join(long) * 3)
+    want = [count(library, x) for x in long]
+    assert len(long[-1]) > t.CHUNK and t.count_all(long, PATH) == want
+    assert [t.grid_count(x, PATH, 8192) for x in long] == want and [t.spliced_count(x, t.library_encode(PATH), 8192) for x in long] == want
 
 
 def test_column_of_the_same_name_is_replaced(edge, library):
     rows = t.count_tokens(edge, PATH, to="size").select("text", "size", "words").collect()
     assert [r["size"] for r in rows] == [count(library, r.text or "") for r in rows] and {r.words for r in rows} == {"w", None}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_grids_agree(library, seed):
+    r, met = random.Random(100 + seed), 0
+    for _ in range(40):
+        text = "".join(r.choice(PIECES) for _ in range(r.randint(20, 900)))
+        chunk, overlap = r.choice([(400, 100), (700, 150), (1000, 300)])
+        n, want = t.grid_count(text, PATH, chunk, overlap), count(library, text)
+        met += n is not None
+        assert n in (None, want) and t.count_long(text, PATH, chunk, overlap) == want
+    assert met > 20
