@@ -1,9 +1,11 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import config
 from tessera.operators import decide, jobs, match
 from tessera.sources import audit, checkpoints, files
+from tests.compare import same
 
 
 def test_config_layers():
@@ -109,3 +111,18 @@ def test_closing_rows_stay_out(spark, sf_dir):
     rows = QUERIES["j01_tumbling_counts"](spark, sf_dir)
     assert rows.agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert rows.where("user_id is null").isEmpty()
+
+
+def _against_sql(spark, tmp_path, name, rows, schema, tables=("events",)):
+    from tessera.plans.all import ORACLES, QUERIES
+
+    for t in tables:
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    same(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
+
+
+def test_probe_of_no_seconds_and_of_unknown_ones(spark, tmp_path):
+    _against_sql(spark, tmp_path, "a02_media_probe", [(i, v) for i, v in enumerate([0.0, -0.0, 0.0, 1.5, None, None, 0.0, 0.0000005, 0.0])] + [(18, None), (30, 3336.7), (42, -1.0), (54, 2.5), (66, 0.0000004)], "event_id long, value double")
