@@ -44,4 +44,5 @@ def j05_current_state(spark, sf_dir):
 
 @query("select min(event_id) event_id, user_id, event_type from events group by 2, 3")
 def j06_first_only(spark, sf_dir):
-    return stream.drain(spark, sf_dir, lambda e: stream.first_only(e, ["user_id", "event_type"], "3650 days").select("event_id", "user_id", "event_type"), closes=0)
+    keys = ["user_id", "event_type"]
+    return stream.latest(spark, sf_dir, lambda e: stream.first_only(e, keys), keys).select("event_id", *keys)

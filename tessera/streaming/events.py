@@ -69,8 +69,12 @@ def current_state(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).agg(F.max_by("event_type", "event_id").alias("state"), F.max("event_id").alias("since"))
 
 
-def first_only(events: DataFrame, keys: list[str], late: str) -> DataFrame:
-    return _timed(events, late).dropDuplicatesWithinWatermark(keys)
+def first_only(events: DataFrame, keys: list[str], order: str = "event_id") -> DataFrame:
+    """Of each key's events the first in ``order``, in update mode: a smaller one that arrives later takes its place.
+
+    Dropping duplicates as they arrive would keep whichever row a file or a task happens to bring first.
+    """
+    return events.groupBy(*keys).agg(F.min(order).alias(order)).select(order, *keys)
 
 
 _CLOSING_MS = pd.Timestamp(CLOSING).value // 10**6

@@ -1,3 +1,5 @@
+import datetime
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +128,9 @@ def _against_sql(spark, tmp_path, name, rows, schema, tables=("events",)):
 
 def test_probe_of_no_seconds_and_of_unknown_ones(spark, tmp_path):
     _against_sql(spark, tmp_path, "a02_media_probe", [(i, v) for i, v in enumerate([0.0, -0.0, 0.0, 1.5, None, None, 0.0, 0.0000005, 0.0])] + [(18, None), (30, 3336.7), (42, -1.0), (54, 2.5), (66, 0.0000004)], "event_id long, value double")
+
+
+def test_first_only_is_first_by_id_whatever_arrives_first(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at + datetime.timedelta(hours=i % 5), i % 3, "ab"[i % 2]) for i in range(40, 0, -1)] + [(41, None, 7, "a"), (2, at, 7, "a"), (3, None, None, "b")]
+    _against_sql(spark, tmp_path, "j06_first_only", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
