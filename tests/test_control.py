@@ -134,3 +134,19 @@ def test_first_only_is_first_by_id_whatever_arrives_first(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
     rows = [(i, at + datetime.timedelta(hours=i % 5), i % 3, "ab"[i % 2]) for i in range(40, 0, -1)] + [(41, None, 7, "a"), (2, at, 7, "a"), (3, None, None, "b")]
     _against_sql(spark, tmp_path, "j06_first_only", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+
+
+def test_job_audit_streams_its_children(spark, tmp_path):
+    """Keys of any number of rows: none is collected into one row. Rows without a second field are left out, as the SQL does."""
+    from tessera.plans.all import ORACLES, QUERIES
+    from tessera.plans.control import _CHILDREN
+
+    for _, t, k, v in _CHILDREN:
+        rows = [(i % 7000, None if i % 11 == 0 else (i * 7919) % 13) for i in range(30_000)] + [(None, 1), (15, None)]
+        spark.createDataFrame(rows, f"{k} long, {v} int").write.parquet(f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    for _, t, *_ in _CHILDREN:
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = QUERIES["c17_job_audit"](spark, str(tmp_path))
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    same(got, con, ORACLES["c17_job_audit"])
