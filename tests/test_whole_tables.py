@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 from tessera.plans.all import QUERIES
 from tessera.plans.scalars import detections
 
@@ -25,3 +27,9 @@ def test_diverse_references_of_every_job(spark, sf_dir):
     rows = QUERIES["f05_diverse_references"](spark, sf_dir).collect()
     assert {(r.job_id, r.target) for r in rows} == want and len({j for j, _ in want}) > 1
     assert all((r.job_id, r.ref) in of and 1 <= abs(r.target - r.ref) <= 20 for r in rows)
+
+
+@pytest.mark.parametrize("name", ("d12_flicker", "i10_alignment"))
+def test_clips_of_one_file_are_the_work_of_many_tasks(spark, tmp_path, name):
+    spark.range(200).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 3
