@@ -99,3 +99,13 @@ def test_residual_score_against_pairs():
                 want = max(want, f[5] * min(1, 4 * iou) if iou > 0.01 else 0)
     assert abs(kernels.residual_score(found, boxes) - want) < 1e-12
     assert kernels.residual_score(found[:0], boxes) == 0.0
+
+
+def test_samples_of_several_images_are_those_of_each():
+    images = [texture(1, 30, 40), texture(2, 30, 40), np.stack([texture(i, 30, 40) for i in range(3)], axis=-1)]
+    x, y = motion.grid((30, 40))
+    got, inside = motion.samples(images, x * 1.1 - 1, y * 0.9 + 0.3)
+    for image, one in zip(images, got, strict=True):
+        want, there = motion.sample(image, x * 1.1 - 1, y * 0.9 + 0.3)
+        assert (one == want).all() and (there == inside).all()
+    assert np.allclose(motion._box(np.ones((2, 5, 6)), 2), 25)
