@@ -15,8 +15,14 @@ has a long fingerprint, ``WORDS`` independent 64-bit SimHashes, and the pigeonho
 Copies (equal words) are one node throughout. A signature of many texts is dealt out to pairs of blocks, so no task gets more than
 two blocks of it. Only components are wanted, so crowds of near copies need not be verified pair by pair: a text with up to ``FEW`` candidates
 has all of them verified, one with more its nearest, by the whole fingerprint. Further rounds, ``rounds`` in all, each take the next nearest
-candidates in other components. The pairs that are verified so never outnumber the texts by more than a small factor, but a text of a crowd that is
-near to none of its nearest few may miss a farther one; tests/llm/test_neartexts.py measures how many links meet.
+candidates in other components.
+
+What fingerprints, filters and rounds miss is found by an exact search for the rest (``_rest``), so the components are those of all pairs:
+
+4. Of two texts of at least the similarity, the first few of each one's shingles, in any order of all shingles, share one (the prefix of a set
+   join). So a text is listed under these, the rarest first, and texts under one shingle are compared by size and place.
+5. Only pairs of different components are verified. A text first takes up to ``FIRST`` partners under a shingle, those of its largest
+   component before others; shingles where more are left are asked again for eight times as many, until none is left.
 """
 
 from __future__ import annotations
@@ -43,6 +49,11 @@ COMPARISON = 0.01
 FEW = 8
 #: How surely the filters on fingerprints pass a pair of the least similarity.
 PASS = 0.999
+#: So many partners of a text under a shingle are verified before components are found anew.
+FIRST = 4
+#: About so many texts tell which shingles are frequent, those in ``FREQUENT`` of them or more, and so many of these are told apart. They are
+#: the last of each text's order: a guess about costs only, as any order finds all pairs.
+SAMPLE, FREQUENT, TOLD = 4096, 4, 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -98,17 +109,54 @@ def key_of(text: Column) -> Column:
     return key(text)
 
 
-def _sketched(text: Column, shingle: int) -> Column:
-    @F.arrow_udf("struct<key:binary,sketch:array<bigint>>")
+def prefix_length(size: int, similarity: float) -> int:
+    """So many shingles of a set, from the start of any common order, hold one of any other set of at least the similarity."""
+    return size - ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def prefix_of(shingles: np.ndarray, similarity: float, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first of a set's shingles: the sorted ``known`` ones come last, by ``times``."""
+    if len(known) and len(shingles):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        shingles = shingles[np.argsort(np.where(known[at] == shingles, times[at], 0), kind="stable")]
+    return shingles[: prefix_length(len(shingles), similarity)]
+
+
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles of a sample of different texts, sorted, and in how many of these they occur; at most ``TOLD`` of them."""
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").distinct()
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in utf8(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(words_of(data), shingle).view(np.int64))], names=["t"])
+
+    counts = some.mapInArrow(explode, "t long").groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.col("n").desc(), "t").limit(TOLD).toPandas()
+    known, times = found["t"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(known)
+    return known[order], times[order]
+
+
+def _sketched(text: Column, shingle: int, similarity: float, frequent) -> Column:
+    """key, sketch, number of shingles and the first of these; ``frequent``: a broadcast of what ``_frequent`` gives."""
+
+    @F.arrow_udf("struct<key:binary,sketch:array<bigint>,size:int,prefix:array<bigint>>")
     def both(texts: pa.Array) -> pa.Array:
-        keys, sketches = [], []
+        keys, sketches, sizes, prefixes = [], [], [], []
         for data in utf8(texts):
             words = words_of(data)
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            sketches.append(sketch_of(shingles_of(words, shingle)).view(np.int64))
+            shingles = shingles_of(words, shingle)
+            sketches.append(sketch_of(shingles).view(np.int64))
+            sizes.append(len(shingles))
+            prefixes.append(prefix_of(shingles, similarity, *frequent.value).view(np.int64))
         flat = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (WORDS + CHECK)), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), lists], names=["key", "sketch"])
+        ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes], dtype=np.int64))).astype(np.int32)
+        firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
+        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), lists, pa.array(sizes, pa.int32()), firsts], names=["key", "sketch", "size", "prefix"])
 
     return both(text)
 
@@ -388,29 +436,131 @@ def _links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, r
     return roots
 
 
-def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.98, rounds: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _partners(token: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, most: int, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, tokens): rows of one token and different roots that may be similar, up to ``most`` of each i, and the tokens where some are left.
+
+    ``token`` is sorted. A token's most frequent root comes last in its group and first among partners; pairs inside it are not looked at.
+    """
+    none = np.zeros(0, np.int64)
+    pairs = np.lexsort((root, token))
+    new = np.concatenate(([True], (token[pairs][1:] != token[pairs][:-1]) | (root[pairs][1:] != root[pairs][:-1]))) if len(pairs) else none
+    run = np.empty(len(pairs), np.int64)
+    run[pairs] = np.cumsum(new) - 1
+    count = np.bincount(run)[run] if len(pairs) else none
+    order = np.lexsort((root, count, token))
+    group = np.flatnonzero(np.concatenate(([True], token[order][1:] != token[order][:-1]))) if len(order) else none
+    end = np.repeat(np.append(group[1:], len(order)), np.diff(np.append(group, len(order)))) if len(order) else none
+    last = root[order[end - 1]] if len(order) else none
+    first = np.flatnonzero(root[order] != last)  # rows of the last root have no later row of another root
+    many = end[first] - first - 1
+    out, left, at = [], [], 0
+    while at < len(first):
+        stop = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), step, "right")) + at)
+        a = np.repeat(first[at:stop], many[at:stop])
+        begin = np.cumsum(many[at:stop]) - many[at:stop]
+        b = np.repeat(end[first[at:stop]] - 1, many[at:stop]) - (np.arange(len(a)) - np.repeat(begin, many[at:stop]))
+        x, y = order[a], order[b]
+        both = np.minimum(size[x] - place[x], size[y] - place[y])  # what may be shared from here on
+        ok = (root[x] != root[y]) & (both * (1 + similarity) >= similarity * (size[x] + size[y]) - 1e-6)
+        x, y, a = x[ok], y[ok], a[ok]
+        if len(a):
+            start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+            rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+            out.append((x[rank < most], y[rank < most]))
+            left.append(np.unique(token[x[rank >= most]]))
+        at = stop
+    if not out:
+        return none, none, none
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]), np.unique(np.concatenate(left))
+
+
+def _met(listed: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b) that ``_partners`` finds among ``listed``: token, node, root, size, place; and (null, null, token) for tokens where some are left."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(t: pa.Table) -> pa.RecordBatch:
+            token, node, root, size, place = (t.column(n).to_numpy() for n in ("token", "node", "root", "size", "place"))
+            i, j, more = _partners(token, root, size.astype(np.int64), place.astype(np.int64), similarity, most)
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            if len(a):
+                a, b = np.unique(np.stack([a, b]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a, pa.int64()), pa.nulls(len(more), pa.int64())]), pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(more), pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(more, pa.int64())])], names=["a", "b", "token"])
+
+        left = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if left is None else pa.concat_tables([left, now])
+            token = now.column("token").to_numpy()
+            begin = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last group may go on
+            if begin:
+                yield found(now.slice(0, begin))
+            left = now.slice(begin)
+        if left is not None and len(left):
+            yield found(left)
+
+    return listed.repartition("token").sortWithinPartitions("token").mapInArrow(compare, "a long, b long, token long")
+
+
+def _rest(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, roots: DataFrame | None) -> DataFrame | None:
+    """``roots`` (node, root) made whole: the components of all pairs of at least the similarity; None without any."""
+    tables = Tables(nodes.sparkSession)
+    edges = None if roots is None else roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    tried = asked = None
+    most, first = FIRST, roots
+    while True:
+        listed = nodes.select("node", "size", "prefix")
+        if roots is not None:
+            listed = listed.join(roots, "node", "left")
+        listed = listed.select("node", F.coalesce("root", "node").alias("root") if roots is not None else F.col("node").alias("root"), "size", F.posexplode("prefix").alias("place", "token"))
+        if asked is not None:
+            listed = listed.join(asked, "token", "left_semi")
+        met = tables.write(_met(listed, similarity, most))
+        pairs = met.where("a is not null").select("a", "b").distinct()
+        pairs = tables.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        asked = tables.write(met.where("token is not null").select("token").distinct())
+        tables.drop(met)
+        if not pairs.isEmpty():
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            named = tables.write(nodes.select("node", "key").join(wanted, "node", "left_semi"))
+            sets = tables.write(_sets(named, docs, shingle))
+            found = tables.write(_alike(pairs, sets, similarity))
+            tables.drop(sets)
+            tried = pairs if tried is None else tables.write(tried.unionByName(pairs))
+            if not found.isEmpty():
+                edges = tables.write(found if edges is None else edges.unionByName(found))
+                roots = tables.write(components(edges, tables))
+        if asked.isEmpty():
+            break
+        most *= 8
+    tables.clear(*([] if roots is first else [roots]))
+    return roots
+
+
+def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.5, rounds: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: id, key (of its words), component_id, root, the node that names the component.
 
-    component_id is the smallest id reachable over pairs of at least the similarity. A pair of just that similarity is met with
-    probability ``recall``, copies always; in a crowd a text that is near to none of its nearest candidates of ``rounds`` rounds may miss a farther one. No pair of less similarity is ever linked. Rows may repeat; each gives a row. A null id is
+    component_id is the smallest id reachable over pairs of at least the similarity, all of them and no others. ``recall`` and ``rounds`` only say how
+    many of the links fingerprints are to find before the exact search for the rest: they change the cost, not the result. Rows may repeat; each gives a row. A null id is
     never the smallest, and a component of null ids alone has component_id null. Null and empty texts have no words: they are
     copies of each other and near nothing else. Texts of any length are read whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
     light = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    rows = tables.write(light.select("id", _sketched(F.col("text"), shingle).alias("x")).select("id", "x.*"))
-    distinct = rows.groupBy("key", "sketch").agg(F.min("id").alias("low"))
+    frequent = spark.sparkContext.broadcast(_frequent(light, shingle))
+    made = tables.write(light.select("id", _sketched(F.col("text"), shingle, similarity, frequent).alias("x")).select("id", "x.*"))
+    rows = made.select("id", "key")
+    distinct = made.groupBy("key").agg(F.min("id").alias("low"), *[F.any_value(c).alias(c) for c in ("sketch", "size", "prefix")])
     seed = 0
     while True:  # nodes are told apart by 64 bits; in the rare case that two share them, by others
-        nodes = tables.write(distinct.select("key", "sketch", "low", F.xxhash64("key", F.lit(seed)).alias("node")))
+        nodes = tables.write(distinct.select("key", "sketch", "low", "size", "prefix", F.xxhash64("key", F.lit(seed)).alias("node")))
         total, told = nodes.agg(F.count("*"), F.count_distinct("node")).first()
         if total == told:
             break
         tables.drop(nodes)
         seed += 1
     placed = nodes.select("key", "low", F.col("node").alias("root"))
-    roots = _links(nodes, light, shingle, similarity, recall, rounds, total) if total > 1 else None
+    roots = _rest(nodes, light, shingle, similarity, _links(nodes, light, shingle, similarity, recall, rounds, total)) if total > 1 else None
     if roots is not None:
         placed = nodes.join(roots, "node", "left").select("key", "low", F.coalesce("root", "node").alias("root"))
     placed = tables.write(placed)

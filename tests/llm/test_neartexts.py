@@ -167,3 +167,37 @@ def test_keep_one(edge, empty):
     found = n.near_texts(edge)
     assert kept.count() == found.select("root").distinct().count()
     assert {r.component_id for r in found.where(F.col("component_id").isNotNull()).collect()} <= {r.doc_id for r in kept.collect()}
+
+
+@pytest.mark.parametrize("first", (1, 4))
+def test_no_link_is_missed(spark, first, monkeypatch):
+    """Exactly the components of brute force, in crowds too, though fingerprints are asked for few links and texts for one partner at a time."""
+    monkeypatch.setattr(n, "FIRST", first)
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    crowd = [" ".join(w if r.random() > 0.025 else f"x{r.randrange(10**6)}" for w in base) for _ in range(150)]  # many pairs on either side of 0.8
+    line = " ".join(base[:30])
+    lined = [line + " " + " ".join(f"y{r.randrange(10**6)}" for _ in range(r.randint(1, 12))) for _ in range(60)]
+    texts = made(3) + crowd + lined + ["", "one", "one two three", None]
+    rows = n.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    roots, links = brute_roots([brute_shingles(t) for t in texts])
+    assert len(links) > 1000
+    got = {x.doc_id: x.component_id for x in rows}
+    assert classes(got, got.values()) == classes(range(len(texts)), roots)
+
+
+def test_partners_of_a_token():
+    r = np.random.default_rng(2)
+    token = np.sort(r.integers(0, 12, 200))
+    root, size, place = r.integers(0, 6, 200), r.integers(8, 14, 200), r.integers(0, 3, 200)
+
+    def may(i, j):
+        both = min(size[i] - place[i], size[j] - place[j])
+        return token[i] == token[j] and root[i] != root[j] and both >= 0.8 / 1.8 * (size[i] + size[j]) - 1e-6
+
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if may(i, j)}
+    i, j, left = n._partners(token, root, size, place, 0.8, 1000, step=50)
+    assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want and len(i) == len(want) and not len(left)
+    i, j, left = n._partners(token, root, size, place, 0.8, 2)
+    some = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert some < want and {token[a] for a, _ in want - some} == set(left.tolist())
