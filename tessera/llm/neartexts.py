@@ -501,7 +501,40 @@ def _met(listed: DataFrame, similarity: float, most: int) -> DataFrame:
     return listed.repartition("token").sortWithinPartitions("token").mapInArrow(compare, "a long, b long, token long")
 
 
-def _rest(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, roots: DataFrame | None) -> DataFrame | None:
+def most_shared(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, sizes: tuple[int, int]) -> int:
+    """At most so many shingles two sets share, by their prefixes: those up to the sooner end, in the common order of (rank, value), and all that comes after."""
+    if (rx[-1], x[-1]) > (ry[-1], y[-1]):
+        return most_shared(y, x, ry, rx, sizes[::-1])
+    n = int(np.count_nonzero((ry < rx[-1]) | ((ry == rx[-1]) & (y <= x[-1]))))
+    return len(np.intersect1d(x, y[:n], assume_unique=True)) + min(sizes[0] - len(x), sizes[1] - n)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float, frequent) -> DataFrame:
+    """The pairs (a, b) that may have the similarity by what their prefixes share; false ones go before whole sets are made and sent."""
+
+    @F.arrow_udf("boolean")
+    def possible(left: pa.Array, right: pa.Array, sa: pa.Array, sb: pa.Array) -> pa.Array:
+        known, times = frequent.value
+
+        def parts(lists):
+            values = lists.values.to_numpy().view(np.uint64)
+            if not len(known):
+                return lists.offsets.to_numpy(), values, np.zeros(len(values), np.int64)
+            at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            return lists.offsets.to_numpy(), values, np.where(known[at] == values, times[at], 0)
+
+        (lo, lv, lr), (ro, rv, rr), out = parts(left), parts(right), []
+        for k, (m, n) in enumerate(zip(sa.to_pylist(), sb.to_pylist(), strict=True)):
+            i, j = slice(lo[k], lo[k + 1]), slice(ro[k], ro[k + 1])
+            out.append(most_shared(lv[i], rv[j], lr[i], rr[j], (m, n)) * (1 + similarity) >= similarity * (m + n) - 1e-6)
+        return pa.array(out, pa.bool_())
+
+    light = nodes.select("node", "prefix", "size")
+    joined = pairs.join(light.toDF("a", "pa", "sa").hint("merge"), "a").join(light.toDF("b", "pb", "sb").hint("merge"), "b")
+    return joined.select("a", "b", possible("pa", "pb", "sa", "sb").alias("ok")).where("ok").select("a", "b")
+
+
+def _rest(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, roots: DataFrame | None, frequent) -> DataFrame | None:
     """``roots`` (node, root) made whole: the components of all pairs of at least the similarity; None without any."""
     tables = Tables(nodes.sparkSession)
     edges = None if roots is None else roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -519,13 +552,14 @@ def _rest(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, ro
         pairs = tables.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         asked = tables.write(met.where("token is not null").select("token").distinct())
         tables.drop(met)
+        tried = pairs if tried is None else tables.write(tried.unionByName(pairs))
+        pairs = tables.write(_possible(pairs, nodes, similarity, frequent))
         if not pairs.isEmpty():
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             named = tables.write(nodes.select("node", "key").join(wanted, "node", "left_semi"))
             sets = tables.write(_sets(named, docs, shingle))
             found = tables.write(_alike(pairs, sets, similarity))
             tables.drop(sets)
-            tried = pairs if tried is None else tables.write(tried.unionByName(pairs))
             if not found.isEmpty():
                 edges = tables.write(found if edges is None else edges.unionByName(found))
                 roots = tables.write(components(edges, tables))
@@ -560,7 +594,7 @@ def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recal
         tables.drop(nodes)
         seed += 1
     placed = nodes.select("key", "low", F.col("node").alias("root"))
-    roots = _rest(nodes, light, shingle, similarity, _links(nodes, light, shingle, similarity, recall, rounds, total)) if total > 1 else None
+    roots = _rest(nodes, light, shingle, similarity, _links(nodes, light, shingle, similarity, recall, rounds, total), frequent) if total > 1 else None
     if roots is not None:
         placed = nodes.join(roots, "node", "left").select("key", "low", F.coalesce("root", "node").alias("root"))
     placed = tables.write(placed)

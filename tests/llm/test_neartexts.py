@@ -201,3 +201,15 @@ def test_partners_of_a_token():
     i, j, left = n._partners(token, root, size, place, 0.8, 2)
     some = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
     assert some < want and {token[a] for a, _ in want - some} == set(left.tolist())
+
+
+def test_most_shared_is_a_bound():
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        both = r.permutation(400)
+        a, b = (np.unique(np.concatenate((both[:k], r.choice(both, k)))).astype(np.uint64) for k in r.integers(1, 120, 2))
+        known = np.sort(r.choice(400, 60, replace=False)).astype(np.uint64)
+        times = r.integers(4, 9, 60)
+        rank = lambda v: np.array([dict(zip(known.tolist(), times.tolist(), strict=True)).get(int(x), 0) for x in v])
+        x, y = (n.prefix_of(s, 0.8, known, times) for s in (a, b))
+        assert n.most_shared(x, y, rank(x), rank(y), (len(a), len(b))) >= len(np.intersect1d(a, b))
