@@ -23,6 +23,8 @@ What fingerprints, filters and rounds miss is found by an exact search for the r
    join). So a text is listed under these, the rarest first, and texts under one shingle are compared by size and place.
 5. Only pairs of different components are verified. A text first takes up to ``FIRST`` partners under a shingle, those of its largest
    component before others; shingles where more are left are asked again for eight times as many, until none is left.
+6. Whole sets are made and sent only for pairs that may have the similarity by the counts of their shingles in ``BINS`` bins, and two long texts
+   by their prefixes too. Both are bounds: they drop no link.
 """
 
 from __future__ import annotations
@@ -54,6 +56,12 @@ FIRST = 4
 #: About so many texts tell which shingles are frequent, those in ``FREQUENT`` of them or more, and so many of these are told apart. They are
 #: the last of each text's order: a guess about costs only, as any order finds all pairs.
 SAMPLE, FREQUENT, TOLD = 4096, 4, 200_000
+#: A set's shingles are counted in so many bins, a byte for each.
+BINS, FULL = 256, 255
+#: Of sets of more shingles the counts tell little, so pairs of two such are judged by their prefixes too.
+LONG = 16 * BINS
+#: So many bits tell which texts are asked for, before any is sent. It bounds a broadcast; what passes by chance goes in the join.
+MARKS = 1 << 22
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -99,6 +107,18 @@ def sketch_of(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > len(shingles), bitorder="little").view(np.uint64)
 
 
+def counts_of(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of ``BINS`` bins; ``FULL`` stands for so many or more."""
+    return np.minimum(np.bincount((shingles & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8)
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Whether sets of these counts, a row for each pair, may have the similarity: in a bin they share the lesser count at most."""
+    both, least = np.minimum(a, b).sum(axis=1, dtype=np.int64), np.minimum(*sizes)
+    both = np.where((np.minimum(a, b) == FULL).any(axis=1), least, both)
+    return both * (1 + similarity) >= similarity * (sizes[0] + sizes[1]) - 1e-6
+
+
 def key_of(text: Column) -> Column:
     """128 bits that equal texts share, up to white space and the case of A-Z."""
 
@@ -140,23 +160,24 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketched(text: Column, shingle: int, similarity: float, frequent) -> Column:
-    """key, sketch, number of shingles and the first of these; ``frequent``: a broadcast of what ``_frequent`` gives."""
+    """key, sketch, number of shingles, their counts and the first of them; ``frequent``: a broadcast of what ``_frequent`` gives."""
 
-    @F.arrow_udf("struct<key:binary,sketch:array<bigint>,size:int,prefix:array<bigint>>")
+    @F.arrow_udf("struct<key:binary,sketch:array<bigint>,size:int,counts:binary,prefix:array<bigint>>")
     def both(texts: pa.Array) -> pa.Array:
-        keys, sketches, sizes, prefixes = [], [], [], []
+        keys, sketches, sizes, counts, prefixes = [], [], [], [], []
         for data in utf8(texts):
             words = words_of(data)
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
             shingles = shingles_of(words, shingle)
             sketches.append(sketch_of(shingles).view(np.int64))
             sizes.append(len(shingles))
+            counts.append(counts_of(shingles).tobytes())
             prefixes.append(prefix_of(shingles, similarity, *frequent.value).view(np.int64))
         flat = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (WORDS + CHECK)), pa.array(flat))
         ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes], dtype=np.int64))).astype(np.int32)
         firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), lists, pa.array(sizes, pa.int32()), firsts], names=["key", "sketch", "size", "prefix"])
+        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), lists, pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), firsts], names=["key", "sketch", "size", "counts", "prefix"])
 
     return both(text)
 
@@ -365,15 +386,30 @@ def _mark() -> Column:
     return F.array(*[F.col("sketch")[i] for i in range(WORDS)]).alias("mark")
 
 
+def _hashes(text: Column) -> Column:
+    """128 bits of a text as it stands, made without Python."""
+    return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("i"))
+
+
+def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes``: node, named (the hashes of a text of it), from ``docs``: text.
+
+    Most other texts go before the shuffle, by a table of ``MARKS`` bits that the wanted hashes set, and copies meet before it.
+    """
+    bit, word = F.pmod(F.col("named.h"), F.lit(64)).cast("int"), F.floor(F.pmod(F.col("named.h"), F.lit(MARKS)) / 64).cast("int").alias("word")
+    marks = nodes.select(word, F.element_at(F.array(*[F.lit(_signed([k])) for k in range(64)]), bit + 1).alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    asked = docs.select(_hashes(F.col("text")).alias("named"), "text").select("named", word, "text").join(F.broadcast(marks), "word").where(F.getbit("marks", bit) == 1)
+    return asked.groupBy("named").agg(F.any_value("text").alias("text")).join(nodes, "named").select("node", "text")
+
+
 def _sets(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of ``nodes``: node, key, from ``docs``: text."""
+    """(node, shingles) of ``nodes``: node, named, from ``docs``: text."""
 
     @F.arrow_udf("array<bigint>")
     def shingles(texts: pa.Array) -> pa.Array:
         return pa.array([shingles_of(words_of(x), shingle).view(np.int64) for x in utf8(texts)], pa.list_(pa.int64()))
 
-    texts = docs.select(key_of(F.col("text")).alias("key"), "text").join(nodes, "key").groupBy("node").agg(F.any_value("text").alias("text"))
-    return texts.select("node", shingles("text").alias("shingles"))
+    return _texts(nodes, docs).select("node", shingles("text").alias("shingles"))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -412,7 +448,7 @@ def _links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, r
     crowd = None if crowds.isEmpty() else tables.write(_probes(nodes.select("node", "sketch", _mark()), chosen, hot, ("mark",)).drop(*[f"c{i}" for i in range(CHECK)]).join(crowds, "g", "left_semi"))
     wanted = pool.select(F.explode(F.array("a", "b")).alias("node"))
     wanted = (wanted if crowd is None else wanted.unionByName(crowd.select("node"))).distinct()
-    sets = tables.write(_sets(tables.write(nodes.select("node", "key").join(wanted, "node", "left_semi")), docs, shingle))
+    sets = tables.write(_sets(tables.write(nodes.select("node", "named").join(wanted, "node", "left_semi")), docs, shingle))
     edges = roots = tried = None
     for number in range(1, rounds + 1):
         open_ = pool
@@ -509,8 +545,21 @@ def most_shared(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, si
     return len(np.intersect1d(x, y[:n], assume_unique=True)) + min(sizes[0] - len(x), sizes[1] - n)
 
 
+def _counted(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that may have the similarity by their counts, and whether both are long; false ones go before whole sets are made and sent."""
+
+    @F.arrow_udf("boolean")
+    def may(left: pa.Array, right: pa.Array, sa: pa.Array, sb: pa.Array) -> pa.Array:
+        one, other = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, BINS) for x in (left, right))
+        return pa.array(may_be_alike(one, other, (sa.to_numpy().astype(np.int64), sb.to_numpy().astype(np.int64)), similarity), pa.bool_())
+
+    light = nodes.select("node", "counts", "size")
+    joined = pairs.join(light.toDF("a", "ca", "sa").hint("merge"), "a").join(light.toDF("b", "cb", "sb").hint("merge"), "b")
+    return joined.select("a", "b", (F.least("sa", "sb") > LONG).alias("long"), may("ca", "cb", "sa", "sb").alias("ok")).where("ok").select("a", "b", "long")
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float, frequent) -> DataFrame:
-    """The pairs (a, b) that may have the similarity by what their prefixes share; false ones go before whole sets are made and sent."""
+    """The pairs (a, b) that may have the similarity by what their prefixes share."""
 
     @F.arrow_udf("boolean")
     def possible(left: pa.Array, right: pa.Array, sa: pa.Array, sb: pa.Array) -> pa.Array:
@@ -553,10 +602,13 @@ def _rest(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, ro
         asked = tables.write(met.where("token is not null").select("token").distinct())
         tables.drop(met)
         tried = pairs if tried is None else tables.write(tried.unionByName(pairs))
-        pairs = tables.write(_possible(pairs, nodes, similarity, frequent))
+        counted = tables.write(_counted(pairs, nodes, similarity))
+        pairs, long = (counted.where(x).select("a", "b") for x in ("not long", "long"))
+        if not long.isEmpty():
+            pairs = tables.write(pairs.unionByName(_possible(long, nodes.where(F.col("size") > LONG), similarity, frequent)))
         if not pairs.isEmpty():
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            named = tables.write(nodes.select("node", "key").join(wanted, "node", "left_semi"))
+            named = tables.write(nodes.select("node", "named").join(wanted, "node", "left_semi"))
             sets = tables.write(_sets(named, docs, shingle))
             found = tables.write(_alike(pairs, sets, similarity))
             tables.drop(sets)
@@ -582,12 +634,12 @@ def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recal
     tables = Tables(spark)
     light = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(light, shingle))
-    made = tables.write(light.select("id", _sketched(F.col("text"), shingle, similarity, frequent).alias("x")).select("id", "x.*"))
+    made = tables.write(light.select("id", _hashes(F.col("text")).alias("named"), _sketched(F.col("text"), shingle, similarity, frequent).alias("x")).select("id", "named", "x.*"))
     rows = made.select("id", "key")
-    distinct = made.groupBy("key").agg(F.min("id").alias("low"), *[F.any_value(c).alias(c) for c in ("sketch", "size", "prefix")])
+    distinct = made.groupBy("key").agg(F.min("id").alias("low"), F.min("named").alias("named"), *[F.any_value(c).alias(c) for c in ("sketch", "size", "counts", "prefix")])
     seed = 0
     while True:  # nodes are told apart by 64 bits; in the rare case that two share them, by others
-        nodes = tables.write(distinct.select("key", "sketch", "low", "size", "prefix", F.xxhash64("key", F.lit(seed)).alias("node")))
+        nodes = tables.write(distinct.select("key", "sketch", "low", "named", "size", "counts", "prefix", F.xxhash64("key", F.lit(seed)).alias("node")))
         total, told = nodes.agg(F.count("*"), F.count_distinct("node")).first()
         if total == told:
             break

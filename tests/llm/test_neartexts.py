@@ -213,3 +213,52 @@ def test_most_shared_is_a_bound():
         rank = lambda v: np.array([dict(zip(known.tolist(), times.tolist(), strict=True)).get(int(x), 0) for x in v])
         x, y = (n.prefix_of(s, 0.8, known, times) for s in (a, b))
         assert n.most_shared(x, y, rank(x), rank(y), (len(a), len(b))) >= len(np.intersect1d(a, b))
+
+
+def test_counts_are_a_bound():
+    r = np.random.default_rng(6)
+    new = lambda k: np.unique(r.integers(0, 2**63, k).astype(np.uint64))
+    pairs = []
+    for k in (*r.integers(1, 900, 120), 90_000):  # the last has bins that are full
+        both = new(k)
+        pairs += [tuple(np.union1d(both[: int(k * share)], new(int(k * (1 - share)) + 1)) for share in (x, x)) for x in (0.0, 0.7, 0.88, 0.95)]
+    counts = [np.stack([n.counts_of(p[i]) for p in pairs]) for i in (0, 1)]
+    may = n.may_be_alike(*counts, tuple(np.array([len(p[i]) for p in pairs]) for i in (0, 1)), 0.8)
+    near = np.array([n.jaccard(*p) >= 0.8 for p in pairs])
+    assert near.sum() > 100 and may[near].all() and (counts[0] == n.FULL).any()
+    apart = np.array([n.jaccard(*p) == 0 and 20 < len(p[0]) < 900 for p in pairs])
+    assert apart.sum() > 100 and not may[apart].any()
+
+
+def test_texts_are_found_again_without_python(spark, monkeypatch):
+    """Texts of a third of common words meet under these but aren't near; a text is not hashed in Python to be found again."""
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(10**6)}"
+    common = [word() for _ in range(60)]
+    texts = made(4, texts=10) + [" ".join([*common, *(word() for _ in range(110))]) for _ in range(60)] + ["", None]
+    texts += texts[:5] + [texts[0].upper()]
+    plans, whole = [], n._sets
+
+    def sets(nodes, docs, shingle):
+        out = whole(nodes, docs, shingle)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        assert sorted(x.node for x in out.collect()) == sorted(x.node for x in nodes.collect())
+        return out
+
+    monkeypatch.setattr(n, "_sets", sets)
+    monkeypatch.setattr(n, "SAMPLE", 1)  # no order of shingles helps
+    rows = n.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    roots, _ = brute_roots([brute_shingles(t) for t in texts])
+    got = {x.doc_id: x.component_id for x in rows}
+    assert classes(got, got.values()) == classes(range(len(texts)), roots)
+    assert plans and all(p.count("ArrowEvalPython") == 1 for p in plans)
+
+
+@pytest.mark.parametrize("long", (0, 50))
+def test_long_texts_are_judged_by_prefixes_too(spark, long, monkeypatch):
+    monkeypatch.setattr(n, "LONG", long)
+    texts = made(5, texts=25) + ["", None]
+    rows = n.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    roots, _ = brute_roots([brute_shingles(t) for t in texts])
+    got = {x.doc_id: x.component_id for x in rows}
+    assert classes(got, got.values()) == classes(range(len(texts)), roots)
