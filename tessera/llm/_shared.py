@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,11 +27,27 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
 
 
-def utf8(texts: pa.Array) -> list[bytes | None]:
-    """Each text's UTF-8 bytes."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+#: So many texts of a batch are Python's at a time.
+AT_ONCE = 128
+
+
+def utf8(texts: pa.Array) -> Iterator[bytes | None]:
+    """Each text's UTF-8 bytes, a few texts at a time: a batch is never held twice."""
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+    for at in range(0, len(texts), AT_ONCE):
+        yield from texts.slice(at, AT_ONCE).cast(kind).to_pylist()
+
+
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches that go to Python have about so many bytes at most, in what runs inside; the session's own limit holds again after it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 #: Stretches of an order are at most so many, as their bounds pass through the driver; beyond, they hold more rows.

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import Tables, utf8
+from tessera.llm._shared import Tables, arrow_bytes, utf8
 from tessera.llm.simhash import BITS, components, correlated_parts
 
 WORDS, CHECK = 16, 2
@@ -62,6 +62,8 @@ BINS, FULL = 256, 255
 LONG = 16 * BINS
 #: So many bits tell which texts are asked for, before any is sent. It bounds a broadcast; what passes by chance goes in the join.
 MARKS = 1 << 22
+#: Rows go to Python in batches of about so many bytes at most, as a pair of long texts' sets alone may have some hundred thousand.
+BATCH_BYTES = 1 << 22
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -472,7 +474,7 @@ def _links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, r
     return roots
 
 
-def _partners(token: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, most: int, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _partners(token: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, most: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, tokens): rows of one token and different roots that may be similar, up to ``most`` of each i, and the tokens where some are left.
 
     ``token`` is sorted. A token's most frequent root comes last in its group and first among partners; pairs inside it are not looked at.
@@ -588,14 +590,14 @@ def _rest(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, ro
     tables = Tables(nodes.sparkSession)
     edges = None if roots is None else roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     tried = asked = None
-    most, first = FIRST, roots
+    most, first, places = FIRST, roots, nodes.select("node", "size", "prefix")
     while True:
-        listed = nodes.select("node", "size", "prefix")
-        if roots is not None:
-            listed = listed.join(roots, "node", "left")
-        listed = listed.select("node", F.coalesce("root", "node").alias("root") if roots is not None else F.col("node").alias("root"), "size", F.posexplode("prefix").alias("place", "token"))
-        if asked is not None:
-            listed = listed.join(asked, "token", "left_semi")
+        if asked is not None:  # only texts under shingles that are asked again, and only these shingles of theirs
+            left = places.select("node", "size", F.posexplode("prefix").alias("place", "token")) if most == 8 * FIRST else places
+            places = tables.write(left.join(asked, "token", "left_semi"))
+        listed = places if roots is None else places.join(roots, "node", "left")
+        root = F.col("node").alias("root") if roots is None else F.coalesce("root", "node").alias("root")
+        listed = listed.select("node", root, "size", *([F.posexplode("prefix").alias("place", "token")] if asked is None else ["place", "token"]))
         met = tables.write(_met(listed, similarity, most))
         pairs = met.where("a is not null").select("a", "b").distinct()
         pairs = tables.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
@@ -630,9 +632,15 @@ def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recal
     never the smallest, and a component of null ids alone has component_id null. Null and empty texts have no words: they are
     copies of each other and near nothing else. Texts of any length are read whole. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        found = _placed(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), shingle, similarity, recall, rounds)
+    return found.select(F.col("id").alias(id_col), "key", "component_id", "root")
+
+
+def _placed(light: DataFrame, shingle: int, similarity: float, recall: float, rounds: int) -> DataFrame:
+    """What ``near_texts`` gives for ``light``: id, text. No Python is left in it to run."""
+    spark = light.sparkSession
     tables = Tables(spark)
-    light = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(light, shingle))
     made = tables.write(light.select("id", _hashes(F.col("text")).alias("named"), _sketched(F.col("text"), shingle, similarity, frequent).alias("x")).select("id", "named", "x.*"))
     rows = made.select("id", "key")
@@ -651,7 +659,7 @@ def near_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recal
         placed = nodes.join(roots, "node", "left").select("key", "low", F.coalesce("root", "node").alias("root"))
     placed = tables.write(placed)
     of = placed.join(placed.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("key", "component_id", "root")
-    return rows.select("id", "key").join(of, "key").select(F.col("id").alias(id_col), "key", "component_id", "root")
+    return rows.join(of, "key").select("id", "key", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -262,3 +262,65 @@ def test_long_texts_are_judged_by_prefixes_too(spark, long, monkeypatch):
     roots, _ = brute_roots([brute_shingles(t) for t in texts])
     got = {x.doc_id: x.component_id for x in rows}
     assert classes(got, got.values()) == classes(range(len(texts)), roots)
+
+
+def test_later_rounds_list_only_what_is_asked_again(spark, monkeypatch):
+    """After the first round neither all texts nor all of their shingles are listed, or joined with their components, again."""
+    monkeypatch.setattr(n, "FIRST", 1)
+    r = random.Random(11)
+    line = [f"z{i}" for i in range(30)]
+    texts = made(6, texts=15) + [" ".join(line + [f"y{r.randrange(10**6)}" for _ in range(r.randint(1, 12))]) for _ in range(60)]
+    plans, rows, met = [], [], n._met
+
+    def recorded(listed, similarity, most):
+        plans.append(listed._jdf.queryExecution().optimizedPlan().toString())
+        rows.append(listed.count())
+        return met(listed, similarity, most)
+
+    monkeypatch.setattr(n, "_met", recorded)
+    found = n.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    roots, _ = brute_roots([brute_shingles(t) for t in texts])
+    got = {x.doc_id: x.component_id for x in found}
+    assert classes(got, got.values()) == classes(range(len(texts)), roots)
+    assert len(plans) > 2 and "Generate" in plans[0] and not any("Generate" in p for p in plans[1:])
+    assert rows == sorted(rows, reverse=True) and 2 * rows[1] < rows[0]
+
+
+def test_partners_of_a_crowd_take_little_memory():
+    import tracemalloc
+
+    size = 3000
+    one = np.zeros(size, np.int64)
+    tracemalloc.start()
+    i, _, left = n._partners(one, np.arange(size), one + 50, one, 0.8, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == 4 * (size - 4) + 6 and list(left) == [0]
+    assert peak < 48e6
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import _shared
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own, seen, placed = spark.conf.get(name), [], n._placed
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    monkeypatch.setattr(n, "_placed", lambda *x: seen.append(spark.conf.get(name)) or placed(*x))
+    assert n.near_texts(docs).count() == 2
+    assert seen == [str(n.BATCH_BYTES)] and spark.conf.get(name) == own
+    monkeypatch.setattr(n, "_placed", lambda *x: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        n.near_texts(docs)
+    assert spark.conf.get(name) == own
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    wide = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    with _shared.arrow_bytes(spark, 1 << 16):
+        assert wide.mapInArrow(rows, "n long").agg(F.max("n")).first()[0] <= 100
+    texts = pa.chunked_array([["a", None, "é"], ["b"] * 500])
+    assert iter(x := _shared.utf8(texts)) is x and list(x) == [b"a", None, "é".encode(), *[b"b"] * 500]
